@@ -14,6 +14,8 @@ def with_defaults(df: DataFrame, table: str) -> DataFrame:
     changes: dict[str, Column] = {}
     for name in df.columns:
         kind = COLUMNS[table].get(name)
+        if kind == "text" and not isinstance(df.schema[name].dataType, T.StringType):
+            kind = "key"
         value = F.col(name)
         if kind == "text" and name not in REQUIRED[table]:
             value = F.nullif(value, F.lit(""))

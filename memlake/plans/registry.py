@@ -251,7 +251,7 @@ def filter_conditions(t):
         truth(P.has_any_tag(["t1", "t5"])).alias("any_tag"),
         truth(P.has_no_tag(["t1", "t5"])).alias("no_tag"),
         P.mentions("related_files", "src/f3.py").alias("mentions"),
-        X.icontains("title", "ORDER 1").alias("icontains"),
+        X.icontains("title", F.lit("ORDER 1")).alias("icontains"),
         truth(P.newer_than("created_at", P.timestamp("1998-01-01 00:00:00"), 36)).alias("newer"),
         truth(P.older_than("created_at", P.timestamp("1998-01-01 00:00:00"), 30)).alias("older"),
         P.is_completed().alias("completed"),
@@ -394,7 +394,7 @@ def build_embedding_rows(t):
 def refresh_embeddings(t):
     changed = t.notes.select(
         F.lit("note").alias("source_type"), F.col("id").alias("source_id"),
-        F.when(F.col("id") % 2 == 0, F.upper("content")).otherwise(F.col("content")).alias("content_text"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("New "), "content")).otherwise(F.col("content")).alias("content_text"),
     )
     out = E.refresh(t.memory, changed, as_of(), lambda: E.HashingEncoder(64))
     return out.select("id", "content_text", "created_at", (F.size("embedding") == 64).alias("has_vector"))
@@ -494,7 +494,7 @@ def pair_queries(t):
 
 @_query
 def minus_keys(t):
-    return J.minus_keys(t.memory, t.search_queries.select(F.col("query_id").alias("id")), ["id"]).select("id", "project_id")
+    return J.minus_keys(t.memory, t.error_log.select("id"), ["id"]).select("id", "project_id")
 
 
 def _paths(t):
