@@ -604,3 +604,27 @@ ORACLES["stream_activity_windows"] = _tumbling(f"window_end <= {_MARK}")
 ORACLES["stream_activity_sessions"] = _session(f"ended_at + interval 90 minutes <= {_MARK}")
 ORACLES["stream_drop_replays"] = f"with a as ({_ACT}) select project_id, kind, ts, event_id from a"
 ORACLES["stream_embed"] = "select event_id as source_id, 'src' || user_id % 20 as project_id, 64::int as dims from events where event_type = 'error'"
+_add("stream_task_state", "todo_changes", """
+    select id, change_id, changed_at, from_status, to_status,
+           case when from_status is not null then (epoch_us(changed_at) - epoch_us(since)) / 1e6 end as seconds_in_status, done.v as completed_at
+    from (select *, last_value(case when to_status is distinct from from_status then changed_at end ignore nulls)
+                    over (w rows between unbounded preceding and 1 preceding) as since,
+                 last_value(case op when 'complete' then struct_pack(v := changed_at) when 'insert' then struct_pack(v := null::timestamp)
+                            when 'delete' then struct_pack(v := null::timestamp) end ignore nulls) over (w rows unbounded preceding) as done
+          from (select *, lag(to_status) over (partition by id order by changed_at, change_id) as from_status
+                from (select *, case op when 'complete' then 'done' when 'delete' then null else status end as to_status
+                      from (select *, last_value(case op when 'insert' then true when 'delete' then false end ignore nulls)
+                                      over (partition by id order by changed_at, change_id rows between unbounded preceding and 1 preceding) as alive
+                            from todo_changes)
+                      where op = 'insert' or (alive and (op <> 'update' or list_contains(set_fields, 'status')))))
+          window w as (partition by id order by changed_at, change_id))""")
+_add("stream_match_errors", "error_patterns", """
+    select query_id, id, cast(r as int) as rank, round(s, 6) as match_score, 'text' as match_type from texts""", f"""
+    asked as (select event_id as query_id, 'src' || user_id % 20 as project_id,
+                     'Failure ' || substr(md5((event_id % 40)::varchar), 1, 8) || ' ' || substr(md5((user_id % 30)::varchar), 1, 8) as t
+              from events where event_type = 'error'),
+    qs as (select project_id, g, list(query_id) as ids from (select query_id, project_id, {grams('t')} as g from asked) group by project_id, g),
+    ps as (select id, project_id, {grams('error_message')} as g from error_patterns),
+    texts as (select unnest(ids) as query_id, id, s, r from (
+        select *, row_number() over (partition by ids order by s desc, id) as r from (
+            select qs.ids, ps.id, {sim('qs.g', 'ps.g')} as s from qs join ps using (project_id)) where s > 0.3) where r <= 3)""")
