@@ -105,24 +105,20 @@ def keyword_search(
 
     Equal texts asked in one project are looked up once.
     """
-    rows = _filtered(memory, content_type, tags)
-    asked = queries.select("project_id", F.lower("query_text").alias("_text")).distinct()
+    rows = _filtered(memory, content_type, tags).select("project_id", "id", *PAYLOAD, F.lower("content_text").alias("_low"))
+    asked = queries.select("project_id", F.lower("query_text").alias("_text")).filter("_text is not null").distinct()
     hot = hot_keys(rows, ["project_id"], rows_per_task)
     hits = (
-        spread(rows.select("project_id", "id", F.lower("content_text").alias("_low"), "created_at"), hot, ["project_id"], F.col("id"))
+        spread(rows, hot, ["project_id"], F.col("id"))
         .join(repeat(asked, hot, ["project_id"]), ["project_id", SALT])
         .filter(F.contains(F.col("_low"), F.col("_text")))
-        .select("project_id", "_text", "id", "created_at")
+        .drop("_low", SALT)
     )
     best = top_n(hits, k, ["project_id", "_text"], [F.col("created_at").desc(), F.col("id").asc()])
-    named = queries.select("query_id", "project_id", F.lower("query_text").alias("_text")).join(
-        best, ["project_id", "_text"]
-    )
     return (
-        memory.select("id", *PAYLOAD)
-        .join(named.select("query_id", "id", "rank"), "id")
-        .withColumn("similarity", F.lit(0.0))
-        .withColumn("search_mode", F.lit("keyword"))
+        queries.select("query_id", "project_id", F.lower("query_text").alias("_text"))
+        .join(best, ["project_id", "_text"])
+        .select("id", *PAYLOAD, "query_id", "rank", F.lit(0.0).alias("similarity"), F.lit("keyword").alias("search_mode"))
     )
 
 

@@ -10,6 +10,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # trigram work is far heavier than its bytes: do not merge partitions down to a megabyte each
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # split a skewed join even if the next operator then needs its own shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # merge session windows before the shuffle, so a busy project does not land whole in one task

@@ -105,20 +105,21 @@ def insert_rows(rows: DataFrame, columns: list[str], at: Column, change_id: Colu
 
 def compacted_log(log: DataFrame, columns: list[str]) -> DataFrame:
     """The shortest log with the same current state: at most three changes per living row."""
-    state = current_state(log, columns)
-
-    def change(rows: DataFrame, op: str, at: str, place: int, fields: list[str]) -> DataFrame:
+    def change(op: str, at: str, place: int, fields: list[str]) -> Column:
         names = F.array(*[F.lit(f) for f in fields]).cast("array<string>")
-        return rows.select(
-            F.lit(place).cast("long").alias("change_id"), F.col(at).alias("changed_at"), "id", "project_id",
-            F.lit(op).alias("op"), names.alias("set_fields"), *columns,
+        return F.struct(
+            F.lit(place).cast("long").alias("change_id"), F.col(at).alias("changed_at"), F.lit(op).alias("op"), names.alias("set_fields")
         )
 
-    inserted = change(state, "insert", "created_at", -3, columns)
-    completed = change(state.filter("completed_at is not null"), "complete", "completed_at", -2, [])
-    later = state.filter("updated_at > created_at and (completed_at is null or updated_at > completed_at)")
     reopened = [c for c in ("status",) if c in columns]
-    return inserted.unionByName(completed).unionByName(change(later, "update", "updated_at", -1, reopened))
+    later = F.expr("updated_at > created_at and (completed_at is null or updated_at > completed_at)")
+    parts = F.array_compact(F.array(
+        change("insert", "created_at", -3, columns),
+        F.when(F.col("completed_at").isNotNull(), change("complete", "completed_at", -2, [])),
+        F.when(later, change("update", "updated_at", -1, reopened)),
+    ))
+    state = current_state(log, columns).withColumn("_change", F.explode(parts))
+    return state.select("_change.change_id", "_change.changed_at", "id", "project_id", "_change.op", "_change.set_fields", *columns)
 
 
 def compact(spark: SparkSession, root: str, table: str, columns: list[str]) -> int:

@@ -69,8 +69,9 @@ def test_stored_copies_are_taken_over_one_by_one(spark):
                    (14, other, T0 + dt.timedelta(days=1, minutes=4))}
 
 
-@pytest.mark.parametrize("seed,hot", [(3, 0.0), (4, 0.35)])
-def test_errors_equal_row_by_row(spark, small_tasks, seed, hot):
+@pytest.mark.parametrize("seed,hot,first_batch", [(3, 0.0, 1000), (4, 0.35, 1000), (3, 0.0, 15), (4, 0.35, 15)])
+def test_errors_equal_row_by_row(spark, small_tasks, monkeypatch, seed, hot, first_batch):
+    monkeypatch.setattr(M, "FIRST_BATCH", first_batch)
     rng = random.Random(seed)
 
     def row(i):
