@@ -22,6 +22,7 @@ from memlake.session import checkpointed
 
 PAYLOAD = ["source_type", "source_id", "content_type", "content_text", "tags", "created_at"]
 KEYWORD_ROWS_PER_TASK = 1_000_000
+MAX_SHIPPED_CHARS = 50_000_000
 
 
 def _filtered(memory: DataFrame, content_type: str | None, tags: Sequence[str] | None) -> DataFrame:
@@ -93,6 +94,26 @@ def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     return found.agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"))
 
 
+def _newest_holding(
+    rows: DataFrame, text: str, asked: DataFrame, k: int, time: str, rows_per_task: int, max_shipped: int
+) -> DataFrame:
+    """The ``k`` newest rows holding each asked (project_id, _text), with the columns of ``rows``.
+
+    Few short texts (rows and characters checked) travel to the rows, which are then not
+    shuffled; otherwise both sides are shuffled by project, busy projects split by salt.
+    """
+    stored = rows.withColumn("_low", F.lower(text))
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_text")).alias("chars")).first()
+    if size.n <= max_shipped and (size.chars or 0) <= MAX_SHIPPED_CHARS:
+        joined = stored.join(F.broadcast(asked), "project_id")
+    else:
+        hot = hot_keys(rows, ["project_id"], rows_per_task)
+        left = spread(stored, hot, ["project_id"], F.col("id"))
+        joined = left.join(repeat(asked, hot, ["project_id"]), ["project_id", SALT]).drop(SALT)
+    hits = joined.filter(F.contains(F.col("_low"), F.col("_text"))).drop("_low")
+    return top_n(hits, k, ["project_id", "_text"], [F.col(time).desc(), F.col("id").asc()])
+
+
 def keyword_search(
     queries: DataFrame,
     memory: DataFrame,
@@ -100,25 +121,18 @@ def keyword_search(
     content_type: str | None = None,
     tags: Sequence[str] | None = None,
     rows_per_task: int = KEYWORD_ROWS_PER_TASK,
+    max_shipped: int = MAX_SHIPPED_QUERIES,
 ) -> DataFrame:
     """Newest rows whose text contains the query text, score 0.
 
     Equal texts asked in one project are looked up once.
     """
-    rows = _filtered(memory, content_type, tags).select("project_id", "id", *PAYLOAD, F.lower("content_text").alias("_low"))
-    asked = queries.select("project_id", F.lower("query_text").alias("_text")).filter("_text is not null").distinct()
-    hot = hot_keys(rows, ["project_id"], rows_per_task)
-    hits = (
-        spread(rows, hot, ["project_id"], F.col("id"))
-        .join(repeat(asked, hot, ["project_id"]), ["project_id", SALT])
-        .filter(F.contains(F.col("_low"), F.col("_text")))
-        .drop("_low", SALT)
-    )
-    best = top_n(hits, k, ["project_id", "_text"], [F.col("created_at").desc(), F.col("id").asc()])
-    return (
-        queries.select("query_id", "project_id", F.lower("query_text").alias("_text"))
-        .join(best, ["project_id", "_text"])
-        .select("id", *PAYLOAD, "query_id", "rank", F.lit(0.0).alias("similarity"), F.lit("keyword").alias("search_mode"))
+    rows = _filtered(memory, content_type, tags).select("project_id", "id", *PAYLOAD)
+    named = queries.select("query_id", "project_id", F.lower("query_text").alias("_text")).filter("_text is not null")
+    asked = named.select("project_id", "_text").distinct()
+    best = _newest_holding(rows, "content_text", asked, k, "created_at", rows_per_task, max_shipped)
+    return named.join(best, ["project_id", "_text"]).select(
+        "id", *PAYLOAD, "query_id", "rank", F.lit(0.0).alias("similarity"), F.lit("keyword").alias("search_mode")
     )
 
 
@@ -147,19 +161,14 @@ def search(queries: DataFrame, memory: DataFrame, mode: str = "hybrid", **option
 
 def match_errors_keyword(queries: DataFrame, errors: DataFrame, k: int = 3) -> DataFrame:
     """Known errors holding the first 100 characters of the asked text, last seen first."""
-    asked = queries.select("project_id", F.lower(F.substring("query_text", 1, 100)).alias("_text")).distinct()
-    hot = hot_keys(errors, ["project_id"], KEYWORD_ROWS_PER_TASK)
-    hits = (
-        spread(errors.select("project_id", "id", F.lower("error_message").alias("_low"), "last_seen_at"), hot, ["project_id"], F.col("id"))
-        .join(repeat(asked, hot, ["project_id"]), ["project_id", SALT])
-        .filter(F.contains(F.col("_low"), F.col("_text")))
-        .select("project_id", "_text", "id", "last_seen_at")
+    named = queries.select("query_id", "project_id", F.lower(F.substring("query_text", 1, 100)).alias("_text"))
+    asked = named.select("project_id", "_text").filter("_text is not null").distinct()
+    rows = errors.select("project_id", "id", "error_message", "last_seen_at")
+    best = _newest_holding(
+        rows, "error_message", asked, k, "last_seen_at", KEYWORD_ROWS_PER_TASK, MAX_SHIPPED_QUERIES
     )
-    best = top_n(hits, k, ["project_id", "_text"], [F.col("last_seen_at").desc(), F.col("id").asc()])
-    return (
-        queries.withColumn("_text", F.lower(F.substring("query_text", 1, 100)))
-        .join(best, ["project_id", "_text"])
-        .select("query_id", "id", "rank", F.lit(0.0).alias("match_score"), F.lit("keyword").alias("match_type"))
+    return named.join(best, ["project_id", "_text"]).select(
+        "query_id", "id", "rank", F.lit(0.0).alias("match_score"), F.lit("keyword").alias("match_type")
     )
 
 

@@ -35,8 +35,8 @@ def small_tasks(monkeypatch):
     monkeypatch.setattr(M, "SEQ_CHUNK", 17)
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 0.0), (2, 0.35)])
-def test_notes_equal_row_by_row(spark, small_tasks, seed, hot):
+@pytest.mark.parametrize("seed,hot,batch", [(1, 0.0, None), (2, 0.35, None), (2, 0.35, 60)])
+def test_notes_equal_row_by_row(spark, small_tasks, seed, hot, batch):
     rng = random.Random(seed)
 
     def row(i, day):
@@ -51,7 +51,7 @@ def test_notes_equal_row_by_row(spark, small_tasks, seed, hot):
             seen.add(key)
             stored.append(dict(r, tags=r["tags"] or []))
     incoming = [row(1000 + i, 1) for i in range(150)]
-    out = M.merge_notes(frame(spark, stored, NOTE), frame(spark, incoming, NOTE + ", seq long"))
+    out = M.merge_notes(frame(spark, stored, NOTE), frame(spark, incoming, NOTE + ", seq long"), batch_rows=batch)
     got = {(r.id, r.content, tuple(r.tags), r.created_at) for r in out.collect()}
     assert got == loops.merge_notes(stored, incoming)
 

@@ -58,10 +58,10 @@ def test_probing_all_cells_is_exact(vectors):
     assert 0.3 < recall.recall <= 1
 
 
-@pytest.mark.parametrize("rows_per_task", [3, 1000])
-def test_keyword_takes_wildcards_literally_and_newest_first(vectors, rows_per_task):
+@pytest.mark.parametrize("rows_per_task,max_shipped", [(3, 0), (1000, 0), (1000, 1000)])
+def test_keyword_takes_wildcards_literally_and_newest_first(vectors, rows_per_task, max_shipped):
     q, m, queries, memory = vectors
-    got = {(r.query_id, r.id, r["rank"]) for r in S.keyword_search(q, m, 3, rows_per_task=rows_per_task).collect()}
+    got = {(r.query_id, r.id, r["rank"]) for r in S.keyword_search(q, m, 3, rows_per_task=rows_per_task, max_shipped=max_shipped).collect()}
     want = set()
     for qid, p, _, _ in queries:
         ids = sorted((i for i, r, _, t, _ in memory if r == p and "été 50%_" in t.lower()), reverse=True)[:3]
