@@ -692,11 +692,18 @@ def _folder(t: Tables) -> str:
 
 
 def _to_parquet(t: Tables, stream: DataFrame, folder: str) -> DataFrame:
-    query = (
-        stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/cp").option("path", f"{folder}/out")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    # a stateful query keeps one state store per shuffle partition: no more of them than cores
+    conf = t._spark.conf
+    partitions = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), t._spark.sparkContext.defaultParallelism)))
+    try:
+        query = (
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/cp")
+            .option("path", f"{folder}/out").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", partitions)
     return t._spark.read.parquet(f"{folder}/out")
 
 
