@@ -10,8 +10,9 @@ bytes. Equal windows have their anchors in equal places, so
    string from it to the end of the next anchor's core; each round pairs it with the rank
    1, 2, 4, ... anchors further on, sorts the distinct pairs, and reranks. A string that is
    unique leaves; one that repeats and has reached ``length`` bytes is removed;
-3. what doubling leaves open are windows that reach past the ends of those strings. Their
-   content is compared as a whole, with all other windows of the same anchor content.
+3. what doubling leaves open are windows that reach past the ends of those strings. What
+   ``STEP`` neighbouring windows of an anchor have in common is compared first, and only
+   where that repeats the windows themselves, with all others of the same anchor content.
 
 Ranks are given to distinct pairs after a map-side combined count, so a string that a
 third of all documents share is one row to the sort. Anchor contents and windows compare
@@ -39,6 +40,8 @@ from memlake.llm.common import PIECE_BYTES, pieces, text_bytes, written
 LENGTH = 200
 #: Bytes of content by which anchors are compared first.
 CORE = 50
+#: Windows whose common bytes are compared at once.
+STEP = 25
 
 _PLACE = np.uint64((1 << 24) - 1)
 _CORE_SEED, _REACH_SEED = 1, 2
@@ -137,7 +140,9 @@ def doubled(kept: DataFrame, length: int) -> DataFrame:
     """Strings between anchors that repeat and have ``length`` bytes or more: ``uid``, ``start``, ``end``."""
     level = 0
     now = _reranked(kept.select("uid", "i", "a", "len", "core", "reach"), ["core", "reach", "len"], level)
-    done, short = now.filter(F.col("len") >= length), now.filter(F.col("len") < length)
+    done = now.filter(F.col("len") >= length)
+    # few strings stay short for long; as a table of their own, Spark knows their size when it plans the join
+    short = written(now.filter(F.col("len") < length), "doubling-short")
     while not short.isEmpty():
         # a string that is long enough keeps its rank, as the right half of those before it
         right = short.union(done).select(
@@ -146,7 +151,7 @@ def doubled(kept: DataFrame, length: int) -> DataFrame:
             "uid", "i", "a", (F.col("_a") - F.col("a") + F.col("_len")).alias("len"), F.col("rank").alias("left"), "right")
         level += 1
         now = _reranked(pairs, ["left", "right", "len"], level)
-        done, short = done.union(now.filter(F.col("len") >= length)), now.filter(F.col("len") < length)
+        done, short = done.union(now.filter(F.col("len") >= length)), written(now.filter(F.col("len") < length), "doubling-short")
     return done.select("uid", F.col("a").alias("start"), (F.col("a") + F.col("len")).alias("end"))
 
 
@@ -196,6 +201,36 @@ def _open_cores(grouped: DataFrame, length: int) -> DataFrame:
     return grouped.select("anchors", "covers").mapInArrow(run, "core long").distinct()
 
 
+def _steps(joined: DataFrame, text: str, length: int) -> DataFrame:
+    """For every ``STEP`` windows of the given anchors: a hash of the bytes they share, and whether one of them asks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, shared = xxhash.xxh3_64_intdigest, length - STEP + 1
+        for batch in batches:
+            data, bounds = text_bytes(batch.column("row").field(text).cast(pa.large_string()))
+            uid = batch.column("uid").to_numpy()
+            doc, core, hashes, first, last, asks = [], [], [], [], [], []
+            for r in range(batch.num_rows):
+                raw = data[bounds[r] : bounds[r + 1]].tobytes()
+                covers = united(_structs(batch.column("covers"), r, ["start", "end"]))
+                for lo, hi, a, content in _structs(batch.column("anchors"), r, ["lo", "hi", "a", "core"]).tolist():
+                    open_ = ~_settled(lo, hi, length, covers)
+                    for q in range((a - hi) // STEP, (a - lo) // STEP + 1):
+                        p, z = max(lo, a - STEP * q - STEP + 1), min(hi, a - STEP * q)
+                        begin = a - STEP * q
+                        doc.append(uid[r])
+                        core.append(content)
+                        hashes.append(digest(raw[begin : begin + shared], q))
+                        first.append(p)
+                        last.append(z)
+                        asks.append(bool(open_[p - lo : z - lo + 1].any()))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(doc, pa.int64()), pa.array(core, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)),
+                pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(asks, pa.bool_()),
+            ], ["uid", "core", "hash", "lo", "hi", "asks"])
+
+    return joined.mapInArrow(run, "uid long, core long, hash long, lo int, hi int, asks boolean")
+
+
 def _windows(joined: DataFrame, text: str, length: int) -> DataFrame:
     """Every window of the given anchors with its hash, and whether it still asks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +270,13 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     kept = written(rows.join(twice, "core").dropDuplicates(["uid", "i"]), "doubling-anchors")
     found = doubled(kept, length)
     covers = written(found.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("covers")), "doubling-covers")
-    listed = F.collect_list(F.struct("lo", "hi", "core")).alias("anchors")
+    listed = F.collect_list(F.struct("lo", "hi", "a", "core")).alias("anchors")
     open_cores = _open_cores(kept.groupBy("uid").agg(listed).join(covers, "uid", "left"), length)
-    asked = kept.join(open_cores, "core", "left_semi").groupBy("uid").agg(listed).join(covers, "uid", "left")
-    windows = _windows(carried.join(written(asked, "doubling-asked"), "uid"), text, length)
+    asked = written(kept.join(open_cores, "core", "left_semi").groupBy("uid").agg(listed).join(covers, "uid", "left"), "doubling-asked")
+    steps = _steps(carried.join(asked, "uid"), text, length)
+    again = steps.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n"), F.max("asks").alias("_asked")).filter("_n > 1 and _asked")
+    left = steps.join(again, ["core", "hash"], "left_semi").groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "core")).alias("anchors"))
+    windows = _windows(carried.join(left.join(covers, "uid", "left"), "uid"), text, length)
     again = windows.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     edges = windows.filter("asks").join(again, ["core", "hash"], "left_semi").select("uid", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
     spans = found.union(edges).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
