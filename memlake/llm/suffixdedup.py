@@ -7,9 +7,10 @@ bytes. Equal windows have their anchors in equal places, so
 
 1. a window whose anchor's ``CORE`` bytes occur once can't repeat; those anchors go;
 2. prefix doubling runs over the anchors that stay: an anchor's first rank orders the
-   string from it to the end of the next anchor's core; each round pairs it with the rank
-   1, 2, 4, ... anchors further on, sorts the distinct pairs, and reranks. A string that is
-   unique leaves; one that repeats and has reached ``length`` bytes is removed;
+   string from it to the end of the core of its follower, the first anchor ``CORE`` bytes on
+   or more; each round pairs it with the rank 1, 2, 4, ... followers further on, sorts the
+   distinct pairs, and reranks. A string that is unique leaves; one that repeats and has
+   reached ``length`` bytes is removed;
 3. what doubling leaves open are windows that reach past the ends of those strings. What
    ``STEP`` neighbouring windows of an anchor have in common is compared first, and only
    where that repeats the windows themselves, with all others of the same anchor content.
@@ -31,11 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import PIECE_BYTES, pieces, text_bytes, written
+from memlake.llm.common import PIECE_BYTES, pieces, prefix, range_hashes, text_bytes, written
 
 LENGTH = 200
 #: Bytes of content by which anchors are compared first.
@@ -111,18 +113,19 @@ def _anchor_rows(docs: DataFrame, length: int, core: int) -> DataFrame:
                 doc = np.searchsorted(cut, a, "right") - 1
                 at = a.tolist()
                 new = np.r_[True, doc[1:] != doc[:-1]]
-                number = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-                # up to the end of the next anchor's core, or of its own if it is the document's last
-                stop = np.where(np.r_[new[1:], True], a, np.r_[a[1:], 0]) + core
+                follower = np.searchsorted(a, a + core)
+                has = (follower < len(a)) & (doc[np.minimum(follower, len(a) - 1)] == doc)
+                onward = a[np.where(has, follower, 0)]
+                stop = np.where(has, onward, a) + core
                 content = np.array([digest(raw[x : x + core], _CORE_SEED) for x in at], np.uint64)
                 reach = np.array([digest(raw[x:y], _REACH_SEED) for x, y in zip(at, stop.tolist())], np.uint64)
                 base = cut[doc]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(uid[i:j][doc]), pa.array(content.view(np.int64)), pa.array(reach.view(np.int64)),
-                    *(pa.array(x.astype(np.int32)) for x in (number, a - base, lo - base, hi - base, stop - a)),
-                ], ["uid", "core", "reach", "i", "a", "lo", "hi", "len"])
+                    *(pa.array(x.astype(np.int32)) for x in (a - base, np.where(has, onward - base, -1), lo - base, hi - base, stop - a)),
+                ], ["uid", "core", "reach", "a", "next", "lo", "hi", "len"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, core long, reach long, i int, a int, lo int, hi int, len int")
+    return docs.select("uid", "text").mapInArrow(run, "uid long, core long, reach long, a int, next int, lo int, hi int, len int")
 
 
 def _reranked(rows: DataFrame, pair: list[str], level: int) -> DataFrame:
@@ -133,22 +136,21 @@ def _reranked(rows: DataFrame, pair: list[str], level: int) -> DataFrame:
     twice = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     sorted_pairs = twice.orderBy(*pair).withColumn("_new", F.monotonically_increasing_id() + F.lit(level << 56))
     ranks = written(sorted_pairs, "doubling-ranks")
-    return written(rows.join(ranks, pair).select("uid", "i", "a", "len", F.col("_new").alias("rank")), "doubling-rows")
+    return written(rows.join(ranks, pair).select("uid", "a", "next", "len", F.col("_new").alias("rank")), "doubling-rows")
 
 
 def doubled(kept: DataFrame, length: int) -> DataFrame:
     """Strings between anchors that repeat and have ``length`` bytes or more: ``uid``, ``start``, ``end``."""
     level = 0
-    now = _reranked(kept.select("uid", "i", "a", "len", "core", "reach"), ["core", "reach", "len"], level)
+    now = _reranked(kept.filter(F.col("next") >= 0).select("uid", "a", "next", "len", "core", "reach"), ["core", "reach", "len"], level)
     done = now.filter(F.col("len") >= length)
     # few strings stay short for long; as a table of their own, Spark knows their size when it plans the join
     short = written(now.filter(F.col("len") < length), "doubling-short")
     while not short.isEmpty():
         # a string that is long enough keeps its rank, as the right half of those before it
-        right = short.union(done).select(
-            "uid", (F.col("i") - (1 << level)).alias("i"), F.col("a").alias("_a"), F.col("len").alias("_len"), F.col("rank").alias("right"))
-        pairs = short.join(right, ["uid", "i"]).select(
-            "uid", "i", "a", (F.col("_a") - F.col("a") + F.col("_len")).alias("len"), F.col("rank").alias("left"), "right")
+        right = short.union(done).select("uid", F.col("a").alias("next"), F.col("next").alias("_next"), F.col("len").alias("_len"), F.col("rank").alias("right"))
+        pairs = short.join(right, ["uid", "next"]).select(
+            "uid", "a", F.col("_next").alias("next"), (F.col("next") - F.col("a") + F.col("_len")).alias("len"), F.col("rank").alias("left"), "right")
         level += 1
         now = _reranked(pairs, ["left", "right", "len"], level)
         done, short = done.union(now.filter(F.col("len") >= length)), written(now.filter(F.col("len") < length), "doubling-short")
@@ -156,7 +158,6 @@ def doubled(kept: DataFrame, length: int) -> DataFrame:
 
 
 _SPAN = "array<struct<start:int,end:int>>"
-_ARROW_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def united(spans: np.ndarray) -> np.ndarray:
@@ -169,92 +170,105 @@ def united(spans: np.ndarray) -> np.ndarray:
     return np.c_[spans[first, 0], reach[np.r_[first[1:], True]]]
 
 
-def _structs(column: pa.Array, row: int, names: list[str]) -> np.ndarray:
-    """The structs of a row's list, a column for each name."""
-    held = column[row].values
-    if held is None or not len(held):
-        return np.zeros((0, len(names)), np.int64)
-    return np.stack([held.field(x).to_numpy().astype(np.int64) for x in names], axis=1)
+def _lists(column: pa.Array, names: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Where each row's list of structs begins (one entry more), and the fields of all of them; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    held = column.flatten()
+    return prefix(sizes), {x: held.field(x).to_numpy().astype(np.int64) for x in names}
 
 
-def _settled(lo: int, hi: int, length: int, covers: np.ndarray) -> np.ndarray:
-    """For windows lo to hi of an anchor, whether all their bytes lie in one of the disjoint covers."""
-    p = np.arange(lo, hi + 1)
-    if not len(covers):
-        return np.zeros(len(p), bool)
-    at = np.searchsorted(covers[:, 0], p, "right") - 1
-    return (at >= 0) & (covers[np.maximum(at, 0), 1] >= p + length)
+class _Piece:
+    """Documents of a batch side by side, with their anchors and covers counted from the first byte of all."""
+
+    def __init__(self, bounds: np.ndarray, i: int, j: int, anchors: tuple[np.ndarray, dict], covers: tuple[np.ndarray, dict]) -> None:
+        at, fields = anchors
+        own = slice(at[i], at[j])
+        self.doc = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
+        base = bounds[self.doc] - bounds[i]
+        self.fields = {x: (v[own] if x == "core" else v[own] + base) for x, v in fields.items()}
+        at, fields = covers
+        own = slice(at[i], at[j])
+        base = bounds[np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))] - bounds[i]
+        self.covers = united(np.c_[fields["start"][own] + base, fields["end"][own] + base])
+        self.base = bounds[self.doc] - bounds[i]
+
+    def open(self, p: np.ndarray, length: int) -> np.ndarray:
+        """Whether the windows at p have bytes outside every cover."""
+        if not len(self.covers):
+            return np.ones(len(p), bool)
+        at = np.searchsorted(self.covers[:, 0], p, "right") - 1
+        return (at < 0) | (self.covers[np.maximum(at, 0), 1] < p + length)
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers from each first to its last, and which pair each comes from."""
+    n = last - first + 1
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - prefix(n)[:-1][of] + first[of], of
 
 
 def _open_cores(grouped: DataFrame, length: int) -> DataFrame:
     """Contents of the anchors that have a window which doubling has not settled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[int] = []
-            for r in range(batch.num_rows):
-                covers = united(_structs(batch.column("covers"), r, ["start", "end"]))
-                for lo, hi, core in _structs(batch.column("anchors"), r, ["lo", "hi", "core"]).tolist():
-                    if not _settled(lo, hi, length, covers).all():
-                        out.append(core)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["core"])
+            anchors, covers = _lists(batch.column("anchors"), ["lo", "hi", "core"]), _lists(batch.column("covers"), ["start", "end"])
+            reach = np.zeros(batch.num_rows, np.int64)
+            full = np.diff(anchors[0]) > 0
+            reach[full] = np.maximum.reduceat(anchors[1]["hi"], anchors[0][:-1][full])
+            bounds = prefix(reach + length)  # no text is needed, only room for each document
+            piece = _Piece(bounds, 0, batch.num_rows, anchors, covers)
+            lo, hi = piece.fields["lo"], piece.fields["hi"]
+            # the windows of an anchor are settled together if one cover holds them all
+            inside = ~piece.open(lo, length)
+            if len(piece.covers):
+                at = np.maximum(np.searchsorted(piece.covers[:, 0], lo, "right") - 1, 0)
+                inside &= piece.covers[at, 1] >= hi + length
+            yield pa.RecordBatch.from_arrays([pa.array(piece.fields["core"][~inside])], ["core"])
 
     return grouped.select("anchors", "covers").mapInArrow(run, "core long").distinct()
 
 
+def _pieces_of(batch: pa.RecordBatch, text: str, names: list[str]) -> Iterator[tuple[_Piece, np.ndarray]]:
+    data, bounds = text_bytes(batch.column("row").field(text))
+    anchors, covers = _lists(batch.column("anchors"), names), _lists(batch.column("covers"), ["start", "end"])
+    for i, j in pieces(bounds):
+        yield _Piece(bounds, i, j, anchors, covers), data[bounds[i] : bounds[j]]
+
+
 def _steps(joined: DataFrame, text: str, length: int) -> DataFrame:
     """For every ``STEP`` windows of the given anchors: a hash of the bytes they share, and whether one of them asks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, shared = xxhash.xxh3_64_intdigest, length - STEP + 1
         for batch in batches:
-            data, bounds = text_bytes(batch.column("row").field(text).cast(pa.large_string()))
             uid = batch.column("uid").to_numpy()
-            doc, core, hashes, first, last, asks = [], [], [], [], [], []
-            for r in range(batch.num_rows):
-                raw = data[bounds[r] : bounds[r + 1]].tobytes()
-                covers = united(_structs(batch.column("covers"), r, ["start", "end"]))
-                for lo, hi, a, content in _structs(batch.column("anchors"), r, ["lo", "hi", "a", "core"]).tolist():
-                    open_ = ~_settled(lo, hi, length, covers)
-                    for q in range((a - hi) // STEP, (a - lo) // STEP + 1):
-                        p, z = max(lo, a - STEP * q - STEP + 1), min(hi, a - STEP * q)
-                        begin = a - STEP * q
-                        doc.append(uid[r])
-                        core.append(content)
-                        hashes.append(digest(raw[begin : begin + shared], q))
-                        first.append(p)
-                        last.append(z)
-                        asks.append(bool(open_[p - lo : z - lo + 1].any()))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(doc, pa.int64()), pa.array(core, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64)),
-                pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(asks, pa.bool_()),
-            ], ["uid", "core", "hash", "lo", "hi", "asks"])
+            for piece, data in _pieces_of(batch, text, ["lo", "hi", "a", "core"]):
+                lo, hi, a = (piece.fields[x] for x in ("lo", "hi", "a"))
+                q, of = _spread((a - hi) // STEP, (a - lo) // STEP)
+                begin = a[of] - STEP * q
+                first, last = np.maximum(lo[of], begin - STEP + 1), np.minimum(hi[of], begin)
+                p, group = _spread(first, last)
+                asks = np.zeros(len(q), bool)
+                asks[group[piece.open(p, length)]] = True
+                hashes = range_hashes(data)(begin, begin + length - STEP + 1) ^ (q.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                base = piece.base[of]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(uid[piece.doc[of]]), pa.array(piece.fields["core"][of]), pa.array(hashes.view(np.int64)),
+                    pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(asks),
+                ], ["uid", "core", "hash", "lo", "hi", "asks"])
 
     return joined.mapInArrow(run, "uid long, core long, hash long, lo int, hi int, asks boolean")
 
 
 def _windows(joined: DataFrame, text: str, length: int) -> DataFrame:
-    """Every window of the given anchors with its hash, and whether it still asks."""
+    """Every window of the given anchors with its hash, and whether it asks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        names = ["uid", "core", "hash", "p", "asks"]
         for batch in batches:
-            data, bounds = text_bytes(batch.column("row").field(text).cast(pa.large_string()))
             uid = batch.column("uid").to_numpy()
-            out: list[list[np.ndarray]] = [[] for _ in names]
-            waiting = 0
-            for r in range(batch.num_rows):
-                raw = data[bounds[r] : bounds[r + 1]].tobytes()
-                covers = united(_structs(batch.column("covers"), r, ["start", "end"]))
-                for lo, hi, core in _structs(batch.column("anchors"), r, ["lo", "hi", "core"]).tolist():
-                    n = hi - lo + 1
-                    hashes = np.array([digest(raw[p : p + length]) for p in range(lo, hi + 1)], np.uint64).view(np.int64)
-                    for x, y in zip(out, (np.full(n, uid[r]), np.full(n, core), hashes, np.arange(lo, hi + 1, dtype=np.int32), ~_settled(lo, hi, length, covers))):
-                        x.append(y)
-                    waiting += n
-                if waiting > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
-                    out, waiting = [[] for _ in names], 0
-            if waiting:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names)
+            for piece, data in _pieces_of(batch, text, ["lo", "hi", "core"]):
+                p, of = _spread(piece.fields["lo"], piece.fields["hi"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(uid[piece.doc[of]]), pa.array(piece.fields["core"][of]), pa.array(range_hashes(data)(p, p + length).view(np.int64)),
+                    pa.array((p - piece.base[of]).astype(np.int32)), pa.array(piece.open(p, length)),
+                ], ["uid", "core", "hash", "p", "asks"])
 
     return joined.mapInArrow(run, "uid long, core long, hash long, p int, asks boolean")
 
@@ -267,7 +281,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     carried = docs.select(uid.alias("uid"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     rows = _anchor_rows(docs.select(uid.alias("uid"), body.alias("text")), length, core)
     twice = rows.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("core")
-    kept = written(rows.join(twice, "core").dropDuplicates(["uid", "i"]), "doubling-anchors")
+    kept = written(rows.join(twice, "core").dropDuplicates(["uid", "a"]), "doubling-anchors")
     found = doubled(kept, length)
     covers = written(found.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("covers")), "doubling-covers")
     listed = F.collect_list(F.struct("lo", "hi", "a", "core")).alias("anchors")
@@ -286,8 +300,12 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 
 def _unite_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [[{"start": a, "end": b} for a, b in united(_structs(batch.column("spans"), r, ["start", "end"])).tolist()] for r in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(out, _ARROW_SPAN)], ["uid", "removed"])
+        at, fields = _lists(batch.column("spans"), ["start", "end"])
+        out = [united(np.c_[fields["start"][a:b], fields["end"][a:b]]) for a, b in zip(at, at[1:])]
+        size = prefix(np.array([len(x) for x in out], np.int64))
+        both = np.concatenate(out).astype(np.int32) if out else np.zeros((0, 2), np.int32)
+        held = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["start", "end"])
+        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.ListArray.from_arrays(pa.array(size.astype(np.int32)), held)], ["uid", "removed"])
 
 
 def kept_parts(text: bytes, removed: list[tuple[int, int]]) -> bytes:
@@ -306,9 +324,10 @@ def digests(found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column("text"))
+            at, fields = _lists(batch.column("removed"), ["start", "end"])
             gone, spans, sums = [], [], []
             for r in range(batch.num_rows):
-                cut = _structs(batch.column("removed"), r, ["start", "end"])
+                cut = np.c_[fields["start"][at[r] : at[r + 1]], fields["end"][at[r] : at[r + 1]]]
                 stays = kept_parts(data[bounds[r] : bounds[r + 1]].tobytes(), cut.tolist())
                 gone.append(int((cut[:, 1] - cut[:, 0]).sum()))
                 spans.append(len(cut))
