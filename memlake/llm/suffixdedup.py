@@ -98,6 +98,14 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, core: int) -> tup
     return a[first], lo[first], hi[np.r_[first[1:], len(a)] - 1]
 
 
+def _chiefs(a: np.ndarray, new: np.ndarray, core: int) -> np.ndarray:
+    """The anchors that doubling runs over: of those that crowd together, as in periodic text, one in 1.5 cores."""
+    at = np.arange(len(a))
+    apart = new | np.r_[True, np.diff(a) >= core // 2]
+    stretch = (a - a[np.maximum.accumulate(np.where(apart, at, 0))]) // (core + core // 2)
+    return apart | np.r_[True, np.diff(stretch) != 0]
+
+
 def _anchor_rows(docs: DataFrame, length: int, core: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -113,9 +121,11 @@ def _anchor_rows(docs: DataFrame, length: int, core: int) -> DataFrame:
                 doc = np.searchsorted(cut, a, "right") - 1
                 at = a.tolist()
                 new = np.r_[True, doc[1:] != doc[:-1]]
-                follower = np.searchsorted(a, a + core)
-                has = (follower < len(a)) & (doc[np.minimum(follower, len(a) - 1)] == doc)
-                onward = a[np.where(has, follower, 0)]
+                chief = _chiefs(a, new, core)
+                heads = np.append(a[chief], a[-1] + 2 * core)
+                follower = np.searchsorted(heads, a + core)
+                onward = heads[follower]
+                has = chief & (follower < len(heads) - 1) & (onward < cut[doc + 1])
                 stop = np.where(has, onward, a) + core
                 content = np.array([digest(raw[x : x + core], _CORE_SEED) for x in at], np.uint64)
                 reach = np.array([digest(raw[x:y], _REACH_SEED) for x, y in zip(at, stop.tolist())], np.uint64)
@@ -207,27 +217,6 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(of)) - prefix(n)[:-1][of] + first[of], of
 
 
-def _open_cores(grouped: DataFrame, length: int) -> DataFrame:
-    """Contents of the anchors that have a window which doubling has not settled."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            anchors, covers = _lists(batch.column("anchors"), ["lo", "hi", "core"]), _lists(batch.column("covers"), ["start", "end"])
-            reach = np.zeros(batch.num_rows, np.int64)
-            full = np.diff(anchors[0]) > 0
-            reach[full] = np.maximum.reduceat(anchors[1]["hi"], anchors[0][:-1][full])
-            bounds = prefix(reach + length)  # no text is needed, only room for each document
-            piece = _Piece(bounds, 0, batch.num_rows, anchors, covers)
-            lo, hi = piece.fields["lo"], piece.fields["hi"]
-            # the windows of an anchor are settled together if one cover holds them all
-            inside = ~piece.open(lo, length)
-            if len(piece.covers):
-                at = np.maximum(np.searchsorted(piece.covers[:, 0], lo, "right") - 1, 0)
-                inside &= piece.covers[at, 1] >= hi + length
-            yield pa.RecordBatch.from_arrays([pa.array(piece.fields["core"][~inside])], ["core"])
-
-    return grouped.select("anchors", "covers").mapInArrow(run, "core long").distinct()
-
-
 def _pieces_of(batch: pa.RecordBatch, text: str, names: list[str]) -> Iterator[tuple[_Piece, np.ndarray]]:
     data, bounds = text_bytes(batch.column("row").field(text))
     anchors, covers = _lists(batch.column("anchors"), names), _lists(batch.column("covers"), ["start", "end"])
@@ -281,13 +270,12 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     carried = docs.select(uid.alias("uid"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     rows = _anchor_rows(docs.select(uid.alias("uid"), body.alias("text")), length, core)
     twice = rows.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("core")
-    kept = written(rows.join(twice, "core").dropDuplicates(["uid", "a"]), "doubling-anchors")
-    found = doubled(kept, length)
+    # a row for each document: the anchors whose content occurs again (those of a repeated row once)
+    fields = ["core", "reach", "a", "next", "lo", "hi", "len"]
+    kept = written(rows.join(twice, "core").groupBy("uid").agg(F.collect_set(F.struct(*fields)).alias("anchors")), "doubling-anchors")
+    found = doubled(kept.select("uid", F.explode("anchors").alias("_x")).select("uid", "_x.*"), length)
     covers = written(found.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("covers")), "doubling-covers")
-    listed = F.collect_list(F.struct("lo", "hi", "a", "core")).alias("anchors")
-    open_cores = _open_cores(kept.groupBy("uid").agg(listed).join(covers, "uid", "left"), length)
-    asked = written(kept.join(open_cores, "core", "left_semi").groupBy("uid").agg(listed).join(covers, "uid", "left"), "doubling-asked")
-    steps = _steps(carried.join(asked, "uid"), text, length)
+    steps = _steps(carried.join(kept.join(covers, "uid", "left"), "uid"), text, length)
     again = steps.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n"), F.max("asks").alias("_asked")).filter("_n > 1 and _asked")
     left = steps.join(again, ["core", "hash"], "left_semi").groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "core")).alias("anchors"))
     windows = _windows(carried.join(left.join(covers, "uid", "left"), "uid"), text, length)
