@@ -2,8 +2,9 @@
 
 Vectors are dealt to shards, queries to blocks; each pair of a shard and a block is one
 task, so neither side is ever whole in one place. A task indexes its vectors and its
-queries in a cover tree each: a node's children lie within half its radius and apart from
-one another by more than that. The search descends both trees at once. For a pair of nodes
+queries in a cover tree each: the centres of a node's children cover its points within
+``SHRINK`` of its radius and lie apart from one another by more than that; what few points
+are left over around a node stay with it. The search descends both trees at once. For a pair of nodes
 no inner product exceeds that of their centres plus what the covering radii allow; the pair
 is pruned when that is below the worst k-th score of the query group. Tasks hand on k rows
 per query, and the best k of all shards are kept.
@@ -30,7 +31,10 @@ from memlake.plans.ranking import top_n
 K = 5
 PER_SHARD = 8192
 PER_BLOCK = 2048
-LEAF = 64
+LEAF = 256
+#: A child's reach as a share of its parent's, and the points a child has at least.
+SHRINK = 1 / 1.3
+LEAST = 32
 
 
 @dataclass
@@ -38,30 +42,43 @@ class Node:
     rows: np.ndarray  # all below
     centre: np.ndarray
     radius: float
-    norm: float
     children: list["Node"] = field(default_factory=list)
 
+    def seal(self) -> "Node":
+        """Centres, radii and norms of the children side by side."""
+        self.centres = np.stack([c.centre for c in self.children]) if self.children else self.centre[None]
+        self.radii = np.array([c.radius for c in self.children]) if self.children else np.array([self.radius])
+        self.norms = np.sqrt((self.centres**2).sum(axis=1))
+        return self
+
+
+def _away(points: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    d = points - centre
+    return np.sqrt(np.einsum("ij,ij->i", d, d))
+
 
 def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, first: int = 0) -> Node:
-    """Tree of nested covers; leaves hold ``LEAF`` points, or points that are all alike."""
+    """Tree of nested covers; a leaf has ``LEAF`` points, or points of which no cover brings many together."""
     rows = np.arange(len(points)) if rows is None else rows
-    centre = points[rows[first]]
-    away = np.sqrt(((points[rows] - centre) ** 2).sum(axis=1))
-    node = Node(rows, centre, float(away.max()), float(np.sqrt((centre**2).sum())))
-    if len(rows) <= LEAF or node.radius == 0:
-        return node
-    half = node.radius / 2
-    left = np.arange(len(rows))
-    at = first
-    while len(left):
-        # the first child keeps its parent's centre; each further centre is farther than half from those before
-        near = ((points[rows[left]] - points[rows[at]]) ** 2).sum(axis=1) <= half * half
-        mine = left[near]
-        node.children.append(cover_tree(points, rows[mine], int(np.flatnonzero(mine == at)[0])))
-        left = left[~near]
-        if len(left):
-            at = int(left[0])
-    return node
+    own = points[rows]
+    node = Node(rows, own[first], float(_away(own, own[first]).max()))
+    reach = node.radius * SHRINK
+    if len(rows) > LEAF and node.radius > 0:
+        left, at, rest = np.arange(len(rows)), first, []
+        while len(left):
+            # the first child keeps its parent's centre; further centres are out of reach of those before
+            near = _away(own[left], own[at]) <= reach
+            mine = left[near]
+            if len(mine) >= LEAST:
+                node.children.append(cover_tree(points, rows[mine], int(np.flatnonzero(mine == at)[0])))
+            else:
+                rest.append(mine)
+            left = left[~near]
+            at = int(left[0]) if len(left) else -1
+        if rest and node.children:
+            some = np.concatenate(rest)
+            node.children.append(Node(rows[some], node.centre, float(_away(own[some], node.centre).max())).seal())
+    return node.seal()
 
 
 class _Search:
@@ -73,32 +90,41 @@ class _Search:
     def compare(self, q: np.ndarray, d: np.ndarray) -> None:
         """All pairs of two leaves, merged into the best k of each query."""
         s = self.queries[q] @ self.data[d].T
-        ids = np.broadcast_to(self.data_ids[d], s.shape)
-        s = np.where(ids == self.query_ids[q][:, None], -np.inf, s)
-        reach = np.flatnonzero(s.max(axis=1) >= self.score[q, -1])
-        if not len(reach):
+        s[self.query_ids[q][:, None] == self.data_ids[d][None, :]] = -np.inf
+        bar = self.score[q, -1]
+        if len(d) > self.k:
+            bar = np.maximum(bar, np.partition(s, len(d) - self.k, axis=1)[:, len(d) - self.k])
+        row, col = np.nonzero((s >= bar[:, None]) & (s > -np.inf))
+        if not len(row):
             return
-        rows = q[reach]
-        s = np.concatenate([self.score[rows], s[reach]], axis=1)
-        ids = np.concatenate([self.found[rows], ids[reach]], axis=1)
-        order = np.lexsort((ids, -s), axis=1)[:, : self.k]
-        self.score[rows] = np.take_along_axis(s, order, axis=1)
-        self.found[rows] = np.take_along_axis(ids, order, axis=1)
+        hit = np.unique(row)
+        row_all = np.r_[row, np.repeat(hit, self.k)]
+        s_all = np.r_[s[row, col], self.score[q[hit]].ravel()]
+        id_all = np.r_[self.data_ids[d][col], self.found[q[hit]].ravel()]
+        order = np.lexsort((id_all, -s_all, row_all))
+        start = np.searchsorted(row_all[order], hit)
+        best = order[start[:, None] + np.arange(self.k)]
+        self.score[q[hit]], self.found[q[hit]] = s_all[best], id_all[best]
+
+    def bounds(self, group: Node, tree: Node) -> np.ndarray:
+        """What inner products of the group with each child of the tree can't exceed."""
+        norm = float(np.sqrt((group.centre**2).sum()))
+        most = tree.centres @ group.centre + group.radius * tree.norms + tree.radii * norm + group.radius * tree.radii
+        return most + np.abs(most) * 1e-12 + 1e-6
 
     def descend(self, group: Node, tree: Node) -> None:
-        worst = self.score[group.rows, -1].min()
-        bound = group.centre @ tree.centre + group.radius * tree.norm + tree.radius * group.norm + group.radius * tree.radius
-        if bound * (1 + 1e-12) + 1e-6 < worst:
-            return
-        if not group.children and not tree.children:
-            self.compare(group.rows, tree.rows)
-        elif tree.children and (not group.children or tree.radius >= group.radius):
-            # the most promising child first, so that the worst score rises early
-            for child in sorted(tree.children, key=lambda c: -(group.centre @ c.centre + c.radius * group.norm)):
-                self.descend(group, child)
-        else:
+        if group.children:
             for child in group.children:
                 self.descend(child, tree)
+            return
+        if not tree.children:
+            self.compare(group.rows, tree.rows)
+            return
+        most = self.bounds(group, tree)
+        for i in np.argsort(-most).tolist():  # the most promising child first, so that the worst score rises early
+            if most[i] < self.score[group.rows, -1].min():
+                return
+            self.descend(group, tree.children[i])
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
