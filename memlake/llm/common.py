@@ -30,6 +30,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     stands before, and values that depend on task order stay fixed.
     """
     spark = df.sparkSession
+    # what the job has shuffled is not read again once it is written
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
