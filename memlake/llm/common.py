@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -30,13 +31,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     stands before, and values that depend on task order stay fixed.
     """
     spark = df.sparkSession
-    # what the job has shuffled is not read again once it is written
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs that are over.
+
+    Spark removes them when the driver has collected the objects that stand for them, which an
+    idle driver may not do for half an hour. Nothing happens where the session has no JVM of its own.
+    """
+    gc.collect()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the third of all ids that no model may learn from; a null id is never learnt from."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))

@@ -12,8 +12,8 @@ bytes. Equal windows have their anchors in equal places, so
    distinct pairs, and reranks. A string that is unique leaves; one that repeats and has
    reached ``length`` bytes is removed;
 3. what doubling leaves open are windows that reach past the ends of those strings. What
-   ``STEP`` neighbouring windows of an anchor have in common is compared first, and only
-   where that repeats the windows themselves, with all others of the same anchor content.
+   ``STEP`` neighbouring windows of an anchor have in common is compared first; where that
+   repeats, the outermost of these windows; and where bytes are still open, all of them.
 
 Ranks are given to distinct pairs after a map-side combined count, so a string that a
 third of all documents share is one row to the sort. Anchor contents and windows compare
@@ -152,7 +152,7 @@ def _reranked(rows: DataFrame, pair: list[str], level: int) -> DataFrame:
 def doubled(kept: DataFrame, length: int) -> DataFrame:
     """Strings between anchors that repeat and have ``length`` bytes or more: ``uid``, ``start``, ``end``."""
     level = 0
-    now = _reranked(kept.filter(F.col("next") >= 0).select("uid", "a", "next", "len", "core", "reach"), ["core", "reach", "len"], level)
+    now = _reranked(kept.filter(F.col("next") >= 0).select("uid", "a", "next", "len", "core", "reach"), ["core", "reach"], level)
     done = now.filter(F.col("len") >= length)
     # few strings stay short for long; as a table of their own, Spark knows their size when it plans the join
     short = written(now.filter(F.col("len") < length), "doubling-short")
@@ -162,7 +162,7 @@ def doubled(kept: DataFrame, length: int) -> DataFrame:
         pairs = short.join(right, ["uid", "next"]).select(
             "uid", "a", F.col("_next").alias("next"), (F.col("next") - F.col("a") + F.col("_len")).alias("len"), F.col("rank").alias("left"), "right")
         level += 1
-        now = _reranked(pairs, ["left", "right", "len"], level)
+        now = _reranked(pairs, ["left", "right"], level)
         done, short = done.union(now.filter(F.col("len") >= length)), written(now.filter(F.col("len") < length), "doubling-short")
     return done.select("uid", F.col("a").alias("start"), (F.col("a") + F.col("len")).alias("end"))
 
@@ -238,13 +238,37 @@ def _steps(joined: DataFrame, text: str, length: int) -> DataFrame:
                 asks = np.zeros(len(q), bool)
                 asks[group[piece.open(p, length)]] = True
                 hashes = range_hashes(data)(begin, begin + length - STEP + 1) ^ (q.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                base = piece.base[of]
+                base, window = piece.base[of], range_hashes(data)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(uid[piece.doc[of]]), pa.array(piece.fields["core"][of]), pa.array(hashes.view(np.int64)),
                     pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32)), pa.array(asks),
-                ], ["uid", "core", "hash", "lo", "hi", "asks"])
+                    pa.array(window(first, first + length).view(np.int64)), pa.array(window(last, last + length).view(np.int64)),
+                ], ["uid", "core", "hash", "lo", "hi", "asks", "at_lo", "at_hi"])
 
-    return joined.mapInArrow(run, "uid long, core long, hash long, lo int, hi int, asks boolean")
+    return joined.mapInArrow(run, "uid long, core long, hash long, lo int, hi int, asks boolean, at_lo long, at_hi long")
+
+
+def _still_open(grouped: DataFrame, length: int) -> DataFrame:
+    """The steps of each document, and whether one of their windows has bytes outside every cover."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid = batch.column("uid").to_numpy()
+            steps, covers = _lists(batch.column("steps"), ["lo", "hi", "core", "hash"]), _lists(batch.column("covers"), ["start", "end"])
+            room = np.zeros(batch.num_rows, np.int64)  # no text is needed, only room for each document
+            for (at, fields), name, more in ((steps, "hi", length), (covers, "end", 0)):
+                full = np.diff(at) > 0
+                if full.any():
+                    room[full] = np.maximum(room[full], np.maximum.reduceat(fields[name], at[:-1][full]) + more)
+            piece = _Piece(prefix(room), 0, batch.num_rows, (steps[0], {x: v for x, v in steps[1].items() if x != "hash"}), covers)
+            p, of = _spread(piece.fields["lo"], piece.fields["hi"])
+            asks = np.zeros(len(piece.doc), bool)
+            asks[of[piece.open(p, length)]] = True
+            yield pa.RecordBatch.from_arrays([
+                pa.array(uid[piece.doc]), pa.array(piece.fields["core"]), pa.array(steps[1]["hash"]),
+                pa.array((piece.fields["lo"] - piece.base).astype(np.int32)), pa.array((piece.fields["hi"] - piece.base).astype(np.int32)), pa.array(asks),
+            ], ["uid", "core", "hash", "lo", "hi", "asks"])
+
+    return grouped.select("uid", "steps", "covers").mapInArrow(run, "uid long, core long, hash long, lo int, hi int, asks boolean")
 
 
 def _windows(joined: DataFrame, text: str, length: int) -> DataFrame:
@@ -274,26 +298,45 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     fields = ["core", "reach", "a", "next", "lo", "hi", "len"]
     kept = written(rows.join(twice, "core").groupBy("uid").agg(F.collect_set(F.struct(*fields)).alias("anchors")), "doubling-anchors")
     found = doubled(kept.select("uid", F.explode("anchors").alias("_x")).select("uid", "_x.*"), length)
-    covers = written(found.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("covers")), "doubling-covers")
+    covers = written(_united(found), "doubling-covers")
     steps = _steps(carried.join(kept.join(covers, "uid", "left"), "uid"), text, length)
     again = steps.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n"), F.max("asks").alias("_asked")).filter("_n > 1 and _asked")
+    steps = written(steps.join(again, ["core", "hash"], "left_semi"), "doubling-steps")
+    # the outermost windows of each step
+    ends = F.explode(F.array_distinct(F.array(F.struct(F.col("lo").alias("p"), F.col("at_lo").alias("hash")), F.struct(F.col("hi").alias("p"), F.col("at_hi").alias("hash")))))
+    outer = steps.select("uid", "core", ends.alias("_x")).select("uid", "core", "_x.*")
+    outer = _hits(outer, outer, length)
+    covers = written(_united(covers.select("uid", F.explode("covers").alias("_x")).select("uid", "_x.*").union(outer)), "doubling-covers")
+    # all windows of the steps that still have open bytes, and of those with the same content
+    grouped = steps.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "core", "hash")).alias("steps"))
+    steps = _still_open(grouped.join(covers, "uid", "left"), length)
+    again = steps.groupBy("core", "hash").agg(F.max("asks").alias("_asked")).filter("_asked")
     left = steps.join(again, ["core", "hash"], "left_semi").groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "core")).alias("anchors"))
     windows = _windows(carried.join(left.join(covers, "uid", "left"), "uid"), text, length)
-    again = windows.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    edges = windows.filter("asks").join(again, ["core", "hash"], "left_semi").select("uid", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
-    spans = found.union(edges).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    removed = spans.mapInArrow(_unite_rows, f"uid long, removed {_SPAN}")
+    edges = _hits(windows, windows.filter("asks"), length)
+    removed = _united(covers.select("uid", F.explode("covers").alias("_x")).select("uid", "_x.*").union(edges)).withColumnRenamed("covers", "removed")
     return carried.join(removed, "uid", "left").select("row", F.coalesce("removed", F.array().cast(_SPAN)).alias("removed"))
 
 
-def _unite_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, fields = _lists(batch.column("spans"), ["start", "end"])
-        out = [united(np.c_[fields["start"][a:b], fields["end"][a:b]]) for a, b in zip(at, at[1:])]
-        size = prefix(np.array([len(x) for x in out], np.int64))
-        both = np.concatenate(out).astype(np.int32) if out else np.zeros((0, 2), np.int32)
-        held = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["start", "end"])
-        yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.ListArray.from_arrays(pa.array(size.astype(np.int32)), held)], ["uid", "removed"])
+def _hits(windows: DataFrame, asking: DataFrame, length: int) -> DataFrame:
+    """Spans of the asking windows whose content other windows have as well."""
+    again = windows.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return asking.join(again, ["core", "hash"], "left_semi").select("uid", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
+
+
+def _united(spans: DataFrame) -> DataFrame:
+    """``uid`` and ``covers``: the sorted, disjoint spans that those of a document cover."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, fields = _lists(batch.column("spans"), ["start", "end"])
+            out = [united(np.c_[fields["start"][a:b], fields["end"][a:b]]) for a, b in zip(at, at[1:])]
+            size = prefix(np.array([len(x) for x in out], np.int64))
+            both = np.concatenate(out).astype(np.int32) if out else np.zeros((0, 2), np.int32)
+            held = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.ListArray.from_arrays(pa.array(size.astype(np.int32)), held)], ["uid", "covers"])
+
+    lists = spans.select("uid", "start", "end").groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return lists.mapInArrow(run, f"uid long, covers {_SPAN}")
 
 
 def kept_parts(text: bytes, removed: list[tuple[int, int]]) -> bytes:
