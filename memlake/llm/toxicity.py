@@ -34,8 +34,8 @@ from memlake.plans.ranking import top_n
 
 PER_LABEL = 3000
 MAX_TERMS = 2000
-MIN_DOCUMENTS = 5
-CHI_SQUARE = 30.0
+MIN_DOCUMENTS = 3
+CHI_SQUARE = 20.0
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_VOTE = 0.5
