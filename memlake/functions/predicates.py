@@ -28,8 +28,8 @@ def is_open(status: str = "status") -> Column:
 
 
 def is_active(active: str = "active") -> Column:
-    """NULL counts as inactive."""
-    return F.coalesce(F.col(active), F.lit(False))
+    """A filter's condition: NULL is dropped like false, and the bare column reaches the parquet scan."""
+    return F.col(active)
 
 
 def is_completed(completed_at: str = "completed_at") -> Column:

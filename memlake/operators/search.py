@@ -143,9 +143,14 @@ def hybrid_search(
     content_type: str | None = None,
     tags: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Semantic hits, then keyword hits not among them, cut to ``k`` per query."""
-    lists = semantic_topk(queries, memory, k, content_type, tags).withColumn("_list", F.lit(0)).unionByName(
-        keyword_search(queries, memory, k, content_type, tags).withColumn("_list", F.lit(1))
+    """Semantic hits, then keyword hits not among them, cut to ``k`` per query.
+
+    A query with ``k`` semantic hits has no place left, so its text is not searched for.
+    """
+    semantic = checkpointed(semantic_topk(queries, memory, k, content_type, tags))
+    short = queries.join(semantic.filter(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
+    lists = semantic.withColumn("_list", F.lit(0)).unionByName(
+        keyword_search(short, memory, k, content_type, tags).withColumn("_list", F.lit(1))
     )
     once = top_n(lists, 1, ["query_id", "id"], [F.col("_list").asc()], "_first")
     order = [F.col("_list").asc(), F.col("_place").asc()]
