@@ -25,7 +25,7 @@ from memlake.llm.common import word_count, written
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 #: Rows of one source that one running sum goes over; larger sources are cut by seeded order.
-ROWS_PER_SLICE = 50_000
+ROWS_PER_SLICE = 4096
 
 
 def ranked_sources(sizes: DataFrame, weights: Sequence[float]) -> DataFrame:

@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import held_out, written
-from memlake.plans.ranking import top_n
 
 PER_LABEL = 3000
 MAX_TERMS = 2000
@@ -126,7 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Index
     """Index over the labelled documents, or None if one of the labels has no example."""
     known = written(training_labels(labels), "toxicity-labels")
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = top_n(known, per_label, ["toxic"], [F.xxhash64("doc_id"), F.col("doc_id")]).select("doc_id", "toxic")
+    # one sorted limit for each label: every task hands on per_label rows at most
+    first = [known.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for v in (0, 1)]
+    sample = first[0].union(first[1])
     examples = written(_examples(docs, sample), "toxicity-examples")
     for i in range(3):
         first = examples.groupBy(F.col("minima")[i].alias("_m")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
