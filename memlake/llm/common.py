@@ -32,7 +32,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,6 +49,21 @@ def release(spark: SparkSession) -> None:
         jvm.System.gc()
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables in the checkpoint folder that ``frames`` read, once nothing that is still to run reads them."""
+    for df in frames:
+        spark = df.sparkSession
+        jvm = getattr(spark, "_jvm", None)
+        if jvm is None:
+            continue
+        path = jvm.org.apache.hadoop.fs.Path
+        top = path(ensure_checkpoint_dir(spark)).toUri().getPath().rstrip("/") + "/"
+        for name in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}):
+            folder = path(name)
+            if folder.toUri().getPath().startswith(top):
+                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the third of all ids that no model may learn from; a null id is never learnt from."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import PIECE_BYTES, pieces, prefix, range_hashes, text_bytes, written
+from memlake.llm.common import PIECE_BYTES, discard, pieces, prefix, range_hashes, text_bytes, written
 
 LENGTH = 200
 #: Bytes of content by which anchors are compared first.
@@ -146,7 +146,9 @@ def _reranked(rows: DataFrame, pair: list[str], level: int) -> DataFrame:
     twice = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     sorted_pairs = twice.orderBy(*pair).withColumn("_new", F.monotonically_increasing_id() + F.lit(level << 56))
     ranks = written(sorted_pairs, "doubling-ranks")
-    return written(rows.join(ranks, pair).select("uid", "a", "next", "len", F.col("_new").alias("rank")), "doubling-rows")
+    ranked = written(rows.join(ranks, pair).select("uid", "a", "next", "len", F.col("_new").alias("rank")), "doubling-rows")
+    discard(ranks)
+    return ranked
 
 
 def doubled(kept: DataFrame, length: int) -> DataFrame:
@@ -163,7 +165,9 @@ def doubled(kept: DataFrame, length: int) -> DataFrame:
             "uid", "a", F.col("_next").alias("next"), (F.col("next") - F.col("a") + F.col("_len")).alias("len"), F.col("rank").alias("left"), "right")
         level += 1
         now = _reranked(pairs, ["left", "right"], level)
-        done, short = done.union(now.filter(F.col("len") >= length)), written(now.filter(F.col("len") < length), "doubling-short")
+        last, short = short, written(now.filter(F.col("len") < length), "doubling-short")
+        done = done.union(now.filter(F.col("len") >= length))
+        discard(last)
     return done.select("uid", F.col("a").alias("start"), (F.col("a") + F.col("len")).alias("end"))
 
 
@@ -290,31 +294,40 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     """``row`` (a struct of all columns of ``docs``) and ``removed``, its sorted, disjoint byte spans that repeated strings cover."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     uid = F.xxhash64(F.col(key), body)
-    # all uses of the texts below read the same columns, so their shuffle by uid is done once
     carried = docs.select(uid.alias("uid"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    rows = _anchor_rows(docs.select(uid.alias("uid"), body.alias("text")), length, core)
+    # each step is written: what it read and shuffled can go before the next one shuffles, and no step runs twice
+    rows = written(_anchor_rows(docs.select(uid.alias("uid"), body.alias("text")), length, core), "suffix-anchors")
     twice = rows.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("core")
     # a row for each document: the anchors whose content occurs again (those of a repeated row once)
     fields = ["core", "reach", "a", "next", "lo", "hi", "len"]
     kept = written(rows.join(twice, "core").groupBy("uid").agg(F.collect_set(F.struct(*fields)).alias("anchors")), "doubling-anchors")
+    discard(rows)
     found = doubled(kept.select("uid", F.explode("anchors").alias("_x")).select("uid", "_x.*"), length)
-    covers = written(_united(found), "doubling-covers")
-    steps = _steps(carried.join(kept.join(covers, "uid", "left"), "uid"), text, length)
-    again = steps.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n"), F.max("asks").alias("_asked")).filter("_n > 1 and _asked")
-    steps = written(steps.join(again, ["core", "hash"], "left_semi"), "doubling-steps")
+    certain = written(_united(found), "doubling-covers")
+    discard(found)
+    every = written(_steps(carried.join(kept.join(certain, "uid", "left"), "uid"), text, length), "all-steps")
+    discard(kept)
+    again = every.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n"), F.max("asks").alias("_asked")).filter("_n > 1 and _asked")
+    steps = written(every.join(again, ["core", "hash"], "left_semi"), "doubling-steps")
+    discard(every)
     # the outermost windows of each step
     ends = F.explode(F.array_distinct(F.array(F.struct(F.col("lo").alias("p"), F.col("at_lo").alias("hash")), F.struct(F.col("hi").alias("p"), F.col("at_hi").alias("hash")))))
     outer = steps.select("uid", "core", ends.alias("_x")).select("uid", "core", "_x.*")
     outer = _hits(outer, outer, length)
-    covers = written(_united(covers.select("uid", F.explode("covers").alias("_x")).select("uid", "_x.*").union(outer)), "doubling-covers")
+    covers = written(_united(certain.select("uid", F.explode("covers").alias("_x")).select("uid", "_x.*").union(outer)), "doubling-covers")
+    discard(certain)
     # all windows of the steps that still have open bytes, and of those with the same content
     grouped = steps.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "core", "hash")).alias("steps"))
-    steps = _still_open(grouped.join(covers, "uid", "left"), length)
-    again = steps.groupBy("core", "hash").agg(F.max("asks").alias("_asked")).filter("_asked")
-    left = steps.join(again, ["core", "hash"], "left_semi").groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "core")).alias("anchors"))
-    windows = _windows(carried.join(left.join(covers, "uid", "left"), "uid"), text, length)
+    held = written(_still_open(grouped.join(covers, "uid", "left"), length), "open-steps")
+    discard(steps)
+    again = held.groupBy("core", "hash").agg(F.max("asks").alias("_asked")).filter("_asked")
+    left = written(held.join(again, ["core", "hash"], "left_semi").groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "core")).alias("anchors")), "open-anchors")
+    discard(held)
+    windows = written(_windows(carried.join(left.join(covers, "uid", "left"), "uid"), text, length), "open-windows")
+    discard(left)
     edges = _hits(windows, windows.filter("asks"), length)
-    removed = _united(covers.select("uid", F.explode("covers").alias("_x")).select("uid", "_x.*").union(edges)).withColumnRenamed("covers", "removed")
+    removed = written(_united(covers.select("uid", F.explode("covers").alias("_x")).select("uid", "_x.*").union(edges)).withColumnRenamed("covers", "removed"), "repeated-spans")
+    discard(covers, windows)
     return carried.join(removed, "uid", "left").select("row", F.coalesce("removed", F.array().cast(_SPAN)).alias("removed"))
 
 
