@@ -165,31 +165,40 @@ def session_counts(sessions: DataFrame, snapshot_inserts: DataFrame) -> DataFram
     )
 
 
-def current_state(
-    log: DataFrame, columns: list[str], as_of: Column | None = None, order: tuple[str, ...] = ("changed_at", "change_id")
-) -> DataFrame:
-    """Rows alive after replaying a change log of inserts, updates, completions and deletes.
+def fold_changes(log: DataFrame, columns: list[str], order: tuple[str, ...] = ("changed_at", "change_id")) -> DataFrame:
+    """One row per id: the last insert, delete, completion and touch, and the last set of each column.
 
-    One aggregate per id: the last insert is the base row if no delete follows it, and a
-    column takes its last set value if that is later than the base. Changes of ids that are
-    not alive do nothing. Everything combines on the map side, so a busy id ships one row
-    per task.
+    All are maxima in log order, so folding parts of a log and then the parts together gives
+    the same as folding it whole, whatever came late or twice. Everything combines on the map
+    side, so a busy id ships one row per task.
     """
-    if as_of is not None:
-        log = log.filter(F.col(order[0]) <= as_of)
     at = F.struct(*order)
     is_set = F.col("op") == "update"
     sets = [
         F.max(F.when(is_set & F.array_contains("set_fields", c), F.struct(at.alias("at"), F.col(c).alias("value")))).alias(f"_set_{c}")
         for c in columns
     ]
-    folded = log.groupBy("id", "project_id").agg(
+    return log.groupBy("id", "project_id").agg(
         F.max(F.when(F.col("op") == "insert", F.struct(at.alias("at"), *columns))).alias("_base"),
         F.max(F.when(F.col("op") == "delete", at)).alias("_deleted"),
         F.max(F.when(F.col("op") == "complete", at)).alias("_completed"),
         F.max(F.when(is_set | (F.col("op") == "complete"), at)).alias("_touched"),
         *sets,
     )
+
+
+def current_state(
+    log: DataFrame, columns: list[str], as_of: Column | None = None, order: tuple[str, ...] = ("changed_at", "change_id")
+) -> DataFrame:
+    """Rows alive after replaying a change log of inserts, updates, completions and deletes.
+
+    One aggregate per id: the last insert is the base row if no delete follows it, and a
+    column takes its last set value if that is later than the base. Changes of ids that are
+    not alive do nothing.
+    """
+    if as_of is not None:
+        log = log.filter(F.col(order[0]) <= as_of)
+    folded = fold_changes(log, columns, order)
     alive = folded.filter(
         F.col("_base").isNotNull() & (F.col("_deleted").isNull() | (F.col("_deleted") < F.col("_base.at")))
     )

@@ -55,7 +55,9 @@ def _score(col: str = "similarity") -> Column:
 
 @_query
 def scan_memory(t):
-    return P.project(t.notes, {"id": "id", "project_id": "project_id", "category": "category", "created_at": "created_at"})
+    folder = _folder(t)
+    store.write_version(t.notes, folder, "notes", 1)
+    return store.scan(t._spark, folder, "notes", columns=["id", "project_id", "category", "created_at"])
 
 
 @_query
@@ -68,7 +70,9 @@ def validate_rows(t):
 
 @_query
 def append_rows(t):
-    log = store.insert_rows(t.notes, ["content", "category"], F.col("created_at"), F.col("id"))
+    folder = _folder(t)
+    store.append_changes(store.insert_rows(t.notes, ["content", "category"], F.col("created_at"), F.col("id")), folder, "notes", "0")
+    log = store.read_log(t._spark, folder, "notes")
     return log.select("change_id", "changed_at", "id", "project_id", "op", _list("set_fields"), F.length("content").alias("chars"), "category")
 
 
@@ -235,7 +239,16 @@ def current_state_as_of(t):
 
 @_query
 def compact(t):
-    return C.current_state(store.compacted_log(t.todo_changes, TODO_COLUMNS), TODO_COLUMNS)
+    # three batches in turn, so that each holds changes earlier than some of those before it
+    folder, log, cut = _folder(t), t.todo_changes, P.timestamp("2024-01-15 00:00:00")
+    first, second, third = (log.filter(F.pmod("change_id", F.lit(3)) == i) for i in range(3))
+    store.append_changes(first, folder, "todos", "0")
+    store.compact(t._spark, folder, "todos", TODO_COLUMNS, cut)
+    store.append_changes(second, folder, "todos", "1")
+    store.append_changes(first, folder, "todos", "0")
+    store.compact(t._spark, folder, "todos", TODO_COLUMNS)
+    store.append_changes(third, folder, "todos", "2")
+    return C.current_state(store.read_log(t._spark, folder, "todos"), TODO_COLUMNS)
 
 
 # --- filters and scalar functions --------------------------------------------------

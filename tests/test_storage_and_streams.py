@@ -69,6 +69,61 @@ def test_log_batches_and_compaction_on_disk(spark, tmp_path):
     assert rows_of(C.current_state(store.read_log(spark, root, "todos"), COLUMNS)) == replay(rows)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_compaction_keeps_room_for_late_and_repeated_changes(spark, seed):
+    rows = changes(150, seed)
+    rng = random.Random(seed)
+    early = [r for r in rows if rng.random() < 0.6]
+    late = [r for r in rows if r not in early] + early[::3]
+    folded = store.compacted_log(spark.createDataFrame(early, LOG), COLUMNS)
+    assert rows_of(C.current_state(folded.unionByName(spark.createDataFrame(late, LOG)), COLUMNS)) == replay(rows)
+    again = store.compacted_log(folded, COLUMNS)
+    assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, folded.collect()), key=repr)
+
+
+def test_late_changes_after_compaction(spark):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    row = lambda i, m, id, op, fields, title: (i, at(m), id, "p", op, fields, title, "todo", 1, None)
+    log = [row(1, 0, 1, "insert", COLUMNS, "old"), row(2, 10, 1, "update", ["title"], "new"),
+           row(3, 0, 2, "insert", COLUMNS, "gone"), row(4, 10, 2, "delete", [], None)]
+    late = [row(5, 5, 1, "update", ["title"], "LATE"), row(6, 5, 2, "insert", COLUMNS, "back"), log[0]]
+    folded = store.compacted_log(spark.createDataFrame(log, LOG), COLUMNS)
+    got = C.current_state(folded.unionByName(spark.createDataFrame(late, LOG)), COLUMNS).collect()
+    assert [(r.id, r.title, r.updated_at) for r in got] == [(1, "new", at(10))]
+
+
+def test_compaction_up_to_a_time_keeps_later_states(spark):
+    rows = changes(120, 4)
+    df = spark.createDataFrame(rows, LOG)
+    folded = store.compacted_log(df, COLUMNS, F.lit(rows[60][1]).cast("timestamp_ntz"))
+    for last in (60, 90, 119):
+        as_of = F.lit(rows[last][1]).cast("timestamp_ntz")
+        assert rows_of(C.current_state(folded, COLUMNS, as_of)) == replay(rows[: last + 1])
+
+
+def test_batches_around_compactions(spark, tmp_path, monkeypatch):
+    rows, root = changes(160, 9), str(tmp_path)
+    df = spark.createDataFrame(rows, LOG)
+    part = [df.filter(F.col("change_id") % 4 == i) for i in range(4)]
+    store.append_changes(part[0], root, "todos", "0")
+    kept = store.compacted_log
+
+    def meanwhile(*args):
+        store.append_changes(part[1], root, "todos", "1")  # a batch that lands while compaction runs
+        return kept(*args)
+
+    monkeypatch.setattr(store, "compacted_log", meanwhile)
+    assert store.compact(spark, root, "todos", COLUMNS) == 1
+    monkeypatch.undo()
+    store.append_changes(part[0], root, "todos", "0")  # a retry of a folded batch
+    store.append_changes(part[2], root, "todos", "2")
+    assert store.compact(spark, root, "todos", COLUMNS) == 2
+    store.append_changes(part[3], root, "todos", "3")
+    assert store.compact(spark, root, "todos", COLUMNS) == 3
+    assert sorted(p.name for p in (tmp_path / "todos_log" / "batches").iterdir()) == ["batch=3"]
+    assert rows_of(C.current_state(store.read_log(spark, root, "todos"), COLUMNS)) == replay(rows)
+
+
 def test_scan_prunes_buckets_and_pushes_filters(spark, tmp_path):
     df = spark.range(200).select("id", F.concat(F.lit("p"), (F.col("id") % 50).cast("string")).alias("project_id"),
                                  F.lit(T0).cast("timestamp_ntz").alias("created_at"))
