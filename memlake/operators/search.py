@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -61,29 +63,34 @@ def semantic_topk(
     return with_payload(hits, memory, bounded).withColumn("search_mode", F.lit("semantic"))
 
 
+def _closest_cells(asked: DataFrame, centres: np.ndarray, nprobe: int) -> DataFrame:
+    """Each query once for each of its ``nprobe`` closest cells; the centres (``nlist`` vectors) go to every task."""
+    norms = np.linalg.norm(centres, axis=1, keepdims=True)
+    held = np.divide(centres, norms, out=np.zeros_like(centres), where=norms > 0)
+
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        scores = np.stack(vectors.to_list()).astype(float) @ held.T
+        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :nprobe].astype(np.int32)))
+
+    return asked.withColumn("_cell", F.explode(cells("query_vec")))
+
+
 def ann_topk(
     queries: DataFrame, memory: DataFrame, k: int = 5, nlist: int = 16, nprobe: int = 4, seed: int = 7
 ) -> DataFrame:
     """Approximate nearest rows: only the ``nprobe`` closest of ``nlist`` cells are scored.
 
     The cell of a row comes from k-means over all vectors; inside the probed cells the
-    scoring is exact.
+    scoring is exact. More rows want more cells, about the root of their number.
     """
     rows = memory.filter(F.col("embedding").isNotNull())
     points = rows.withColumn("_point", array_to_vector("embedding"))
     model = KMeans(
         k=nlist, seed=seed, distanceMeasure="cosine", featuresCol="_point", predictionCol="_cell"
     ).fit(points)
-    centres = [[float(x) for x in centre] for centre in model.clusterCenters()]
-    cells = memory.sparkSession.createDataFrame(list(enumerate(centres)), "cell long, embedding array<double>")
     asked = queries.filter(F.col("query_vec").isNotNull())
-    probes, _ = nearest(
-        asked.withColumn("_all", F.lit(0)),
-        cells.select(F.lit(0).alias("_all"), F.col("cell").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")),
-        nprobe,
-        ["_all"],
-    )
-    probed = asked.join(probes.select("query_id", F.col("id").cast("int").alias("_cell")), "query_id")
+    probed = _closest_cells(asked, np.array(model.clusterCenters()), nprobe)
     hits, _ = nearest(probed, model.transform(points).drop("_point"), k, ["project_id", "_cell"])
     return hits
 

@@ -24,6 +24,8 @@ from memlake.plans.skew import SALT, hot_keys, repeat, spread
 
 MAX_SHIPPED_QUERIES = 20_000
 ROWS_PER_TASK = 2_000_000
+#: Queries that one matrix product takes.
+QUERY_TILE = 1_024
 _DIGITS = 12  # scores closer than this count as equal, then the lower id wins
 
 
@@ -46,20 +48,24 @@ class _Best:
         self.queries, self.k, self.held = queries, k, None
 
     def add(self, rows: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.round(self.queries @ rows.T, _DIGITS)
-        if scores.shape[1] > self.k:
-            bar = np.partition(scores, -self.k, axis=1)[:, -self.k, None]
-            q, m = np.nonzero(scores >= bar)
-        else:
-            q, m = np.indices(scores.shape).reshape(2, -1)
-        found = (q, scores[q, m], ids[m])
-        if self.held is not None:
-            found = tuple(np.concatenate(pair) for pair in zip(self.held, found))
+        """Score ``rows`` against tiles of the queries, so memory doesn't grow with their number."""
+        found = [self.held] if self.held is not None else []
+        for at in range(0, len(self.queries), QUERY_TILE):
+            scores = np.round(self.queries[at : at + QUERY_TILE] @ rows.T, _DIGITS)
+            if scores.shape[1] > self.k:
+                bar = np.partition(scores, -self.k, axis=1)[:, -self.k, None]
+                q, m = np.nonzero(scores >= bar)
+            else:
+                q, m = np.indices(scores.shape).reshape(2, -1)
+            found.append(self._cut((q + at, scores[q, m], ids[m])))
+        self.held = self._cut(tuple(np.concatenate(parts) for parts in zip(*found)))
+
+    def _cut(self, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         order = np.lexsort((found[2], -found[1], found[0]))
         q = found[0][order]
         first = np.searchsorted(q, q, side="left")
         keep = order[np.arange(len(q)) - first < self.k]
-        self.held = tuple(part[keep] for part in found)
+        return tuple(part[keep] for part in found)
 
 
 def _result(query_ids: np.ndarray, best: _Best, types: tuple[pa.DataType, pa.DataType]) -> pa.RecordBatch:

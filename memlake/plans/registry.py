@@ -454,6 +454,12 @@ def ann_topk(t):
     return S.ann_topk(t.search_queries, t.memory).select("query_id", "rank", "id", _score())
 
 
+@_query
+def ann_topk_all_cells(t):
+    """With every cell probed, the approximate search is exact."""
+    return S.ann_topk(t.search_queries, t.memory, nlist=8, nprobe=8).select("query_id", "rank", "id", _score())
+
+
 @_query
 def keyword_search(t):
     return _hits(S.keyword_search(t.search_queries, t.memory))

@@ -340,6 +340,7 @@ _SELECT = "select query_id, rank, id, content_type, '{}' as search_mode, round(s
 _Q = "memory search_queries"
 _add("semantic_topk", _Q, _SELECT.format("semantic", "semantic"), _semantic(5, "true"))
 _add("semantic_topk_shuffled", _Q, _SELECT.format("semantic", "semantic"), _semantic(5, "true"))
+_add("ann_topk_all_cells", _Q, "select query_id, rank, id, round(sim, 6) as similarity from semantic", _semantic(5, "true"))
 _add("semantic_topk_filtered", _Q, _SELECT.format("semantic", "semantic"),
      _semantic(3, "content_type = 'note' and list_has_any(tags, ['t1', 't2', 't3'])"))
 _add("keyword_search", _Q, _SELECT.format("keyword", "keyword").replace("round(sim, 6)", "sim::double"), _keyword(5, "true"))

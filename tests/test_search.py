@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators import search as S
+from memlake.plans import probe
 from memlake.plans.probe import nearest
 
 
@@ -40,6 +41,21 @@ def test_every_plan_gives_the_exact_neighbours(vectors, max_shipped, rows_per_ta
     assert {(r.query_id, r.id, r["rank"]) for r in hits.collect()} == brute(queries, memory, 4)
 
 
+def test_more_queries_than_a_tile(vectors, monkeypatch):
+    q, m, queries, memory = vectors
+    best, rng = probe._Best, np.random.default_rng(5)
+    rows, asked = rng.integers(0, 3, (200, 4)).astype(float), rng.integers(0, 3, (50, 4)).astype(float)  # many ties
+    found = {}
+    for tile in (7, 1000):
+        monkeypatch.setattr(probe, "QUERY_TILE", tile)
+        state = best(asked, 6)
+        for at in range(0, 200, 60):
+            state.add(rows[at : at + 60], np.arange(at, min(at + 60, 200)))
+        found[tile] = set(zip(*(x.tolist() for x in state.held)))
+    want = {(i, s, -r) for i, a in enumerate(asked) for s, r in sorted(((float(a @ x), -j) for j, x in enumerate(rows)), reverse=True)[:6]}
+    assert found[7] == found[1000] == want
+
+
 def test_string_ids(vectors):
     q, m, queries, memory = vectors
     q = q.withColumn("query_id", F.col("query_id").cast("string"))
