@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of the labelled rows, ``PER_LABEL`` of each label in hash
-order, with near copies of one another left out (equal minima of hashed word triples).
+order, near copies included.
 Terms are the words whose presence goes with the label beyond chance (chi square), so the
 index holds what tells labels apart. Its postings lie in blocks of ``BLOCK`` examples with
 the largest weight of each term and block; a query goes through the blocks by falling
@@ -12,7 +12,8 @@ labels in all labelled rows, makes the vote a probability.
 
 Defined results: null, empty and term-free texts have no neighbour and get the calibrated
 prior; without examples of both labels every score is 0; a document with conflicting
-labels is no example; repeated rows are scored one by one; an empty table gives an empty
+labels is no example; of a labelled id with several texts, the one with the smallest hash
+is the example; repeated rows are scored one by one; an empty table gives an empty
 result; further columns of the input are ignored.
 """
 
@@ -25,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,25 +100,19 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def _examples(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """Term counts of the sample's documents, with three minima of their hashed word triples."""
+    """Term counts of the sample's documents, one text for each id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            minima, terms, counts = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = words(text or "")
-                triples = {" ".join(found[i : i + 3]) for i in range(max(1, len(found) - 2))}
-                minima.append([min(xxhash.xxh32_intdigest(x, seed) for x in triples) for seed in range(3)])
-                n = Counter(found)
-                terms.append(list(n))
-                counts.append(list(n.values()))
+            found = [Counter(words(text or "")) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(minima, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
-                ["doc_id", "toxic", "minima", "terms", "counts"])
+                [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([list(n) for n in found], pa.list_(pa.string())), pa.array([list(n.values()) for n in found], pa.list_(pa.int64()))],
+                ["doc_id", "toxic", "terms", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # the sample has a bounded number of ids
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    return found.mapInArrow(run, f"doc_id {kind}, toxic int, minima array<long>, terms array<string>, counts array<long>")
+    found = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return found.mapInArrow(run, f"doc_id {kind}, toxic int, terms array<string>, counts array<long>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Index | None:
@@ -129,9 +123,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Index
     first = [known.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for v in (0, 1)]
     sample = first[0].union(first[1])
     examples = written(_examples(docs, sample), "toxicity-examples")
-    for i in range(3):
-        first = examples.groupBy(F.col("minima")[i].alias("_m")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-        examples = written(examples.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "toxicity-examples")
     size = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         return None

@@ -289,6 +289,13 @@ def test_nearest_examples_are_exact():
             assert [s for s, _ in index.nearest(at, w, 15)] == pytest.approx([x for x in want if x > 0])
 
 
+def test_examples_with_a_common_triple_all_stay(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"words in common own{i} {'slur' if i % 2 else 'kind'} other{i}") for i in ids] + [(ids[0], "a second text")], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"))
+    assert sorted(index.ids.tolist()) == ids
+
+
 def test_language_held_out(spark):
     other = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{other}/documents.parquet").collect()}
