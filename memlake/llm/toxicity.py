@@ -1,19 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of the labelled rows, ``PER_LABEL`` of each label in hash
-order, near copies included.
-Terms are the words whose presence goes with the label beyond chance (chi square), so the
-index holds what tells labels apart. Its postings lie in blocks of ``BLOCK`` examples with
-the largest weight of each term and block; a query goes through the blocks by falling
-upper bound and stops at the first that can't reach its k-th best score, so the k nearest
-are exact. Neighbours vote with their squared similarity against a prior vote, and a
+order, near copies included. Terms are all words of the examples, whichever label they lean
+to; inverse document frequency is multiplied by how far a word leans (absolute log-odds of
+the labels), so whole texts are compared and what tells labels apart counts most. Postings
+lie in blocks of ``BLOCK`` examples with the largest weight of each term and block; a query
+goes through the blocks by falling upper bound and stops at the first that can't reach its
+k-th best score, so the k nearest are exact. Neighbours vote with their squared similarity against a prior vote, and a
 logistic curve fitted to leave-one-out votes of the examples, weighted to the share of
 labels in all labelled rows, makes the vote a probability.
 
-Defined results: null, empty and term-free texts have no neighbour and get the calibrated
-prior; without examples of both labels every score is 0; a document with conflicting
-labels is no example; of a labelled id with several texts, the one with the smallest hash
-is the example; repeated rows are scored one by one; an empty table gives an empty
+Defined results: null and empty texts, and texts without a word of any example, have no
+neighbour and get the calibrated prior; without examples of both labels every score is 0; a
+document with conflicting labels is no example; of a labelled id with several texts, the one
+with the smallest hash is the example; repeated rows are scored one by one; an empty table gives an empty
 result; further columns of the input are ignored.
 """
 
@@ -32,11 +32,10 @@ from pyspark.sql import functions as F
 from memlake.llm.common import held_out, written
 
 PER_LABEL = 3000
-MAX_TERMS = 2000
-MIN_DOCUMENTS = 3
-CHI_SQUARE = 20.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks a query goes through before it compares bounds with its k-th best score; four times as many from then on.
+FIRST_BLOCKS = 6
 PRIOR_VOTE = 0.5
 REJECT = 0.7
 
@@ -55,34 +54,47 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray  # of the examples, in index order
     label: np.ndarray
-    pointer: np.ndarray  # (term, block) -> first posting; a column more than blocks
-    place: np.ndarray  # of a posting: the example within its block
+    cells: np.ndarray  # term -> its first cell; one entry more than terms. A cell is a term in a block that has it
+    block: np.ndarray  # of a cell
+    largest: np.ndarray  # of a cell
+    pointer: np.ndarray  # cell -> its first posting; one entry more than cells
+    place: np.ndarray  # of a posting: the example
     weight: np.ndarray
-    largest: np.ndarray  # (term, block)
     prior: float
     curve: tuple[float, float]
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         at = np.array([self.terms[w] for w in counts], np.int64)
         w = (1 + np.log(np.array(list(counts.values()), float))) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
+        return at, w / (np.sqrt((w * w).sum()) or 1.0)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave: int = -1) -> list[tuple[float, int]]:
         """The k examples of highest cosine above zero, as (score, position); ties to the lower position."""
-        bound = w @ self.largest[at]
+        cell, q = _spread(self.cells[at], self.cells[at + 1], w)
+        block = self.block[cell]
+        bound = np.bincount(block, q * self.largest[cell], minlength=-(-len(self.ids) // BLOCK))
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for t, q in zip(at.tolist(), w.tolist()):
-                s, e = self.pointer[t, b], self.pointer[t, b + 1]
-                if s < e:
-                    score[self.place[s:e]] += q * self.weight[s:e]
-            if leave // BLOCK == b:
-                score[leave % BLOCK] = 0
+        step = FIRST_BLOCKS
+        while len(order):
+            here = order[:step]
+            if len(best) == k:
+                here = here[bound[here] >= best[-1][0] - 1e-9]
+                if not len(here):
+                    break
+            order, step = order[step:], 4 * step
+            mine = np.zeros(len(bound), bool)
+            mine[here] = True
+            mine = np.flatnonzero(mine[block])
+            posting, x = _spread(self.pointer[cell[mine]], self.pointer[cell[mine] + 1], q[mine])
+            score = np.bincount(self.place[posting], x * self.weight[posting], minlength=len(self.ids))
+            if leave >= 0:
+                score[leave] = 0
             found = np.flatnonzero(score)
-            best = sorted(best + [(float(score[i]), b * BLOCK + i) for i in found.tolist()], key=lambda x: (-round(x[0], 12), x[1]))[:k]
+            if len(found) > k:
+                found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k] - 1e-9]
+            best = sorted(best + list(zip(score[found].tolist(), found.tolist())), key=lambda x: (-round(x[0], 12), x[1]))[:k]
         return best
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -93,6 +105,12 @@ class Index:
         return float(1 / (1 + np.exp(-(self.curve[0] * vote + self.curve[1]))))
 
 
+def _spread(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges, one range after the other, and the value of each one's range."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(value, n)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """``doc_id`` and ``toxic`` of the rows a model may learn from, one for each document."""
     clear = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
@@ -121,34 +139,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Index
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     # one sorted limit for each label: every task hands on per_label rows at most
     first = [known.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for v in (0, 1)]
-    sample = first[0].union(first[1])
-    examples = written(_examples(docs, sample), "toxicity-examples")
-    size = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(size) < 2:
+    examples = written(_examples(docs, first[0].union(first[1])), "toxicity-examples").toArrow().sort_by("doc_id")
+    label = examples.column("toxic").to_pylist()
+    if len(set(label)) < 2:
         return None
-    bad, fine = float(size[1]), float(size[0])
-    a, b = F.col("_bad"), F.col("_fine")
-    held = a + b
-    apart = a * (fine - b) - b * (bad - a)
-    chi = (bad + fine) * apart * apart / (bad * fine * held * F.greatest(F.lit(1.0), bad + fine - held))
-    terms = (
-        examples.select("toxic", F.explode("terms").alias("term"))
-        .groupBy("term").agg(F.sum(F.col("toxic").cast("double")).alias("_bad"), F.sum(1.0 - F.col("toxic")).alias("_fine"))
-        .filter((held >= MIN_DOCUMENTS) & (a / bad > b / fine)).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE)
-        .orderBy(F.desc("chi"), "term").limit(MAX_TERMS)
-        .select("term", held.alias("held")).collect()
-    )
-    number = {r["term"]: i for i, r in enumerate(terms)}
-    idf = np.log((1 + bad + fine) / (1 + np.array([r["held"] for r in terms], float))) + 1
-    pairs = F.filter(F.arrays_zip("terms", "counts"), lambda p: F.col("_keep").getItem(p["terms"]).isNotNull())
-    keep = F.create_map(*[x for t in number for x in (F.lit(t), F.lit(True))]) if number else F.lit(None).cast("map<string,boolean>")
-    rows = examples.withColumn("_keep", keep).select("doc_id", "toxic", pairs.alias("pairs")).orderBy("doc_id").collect()
-    return build(number, idf, [(r["doc_id"], r["toxic"], Counter({p["terms"]: p["counts"] for p in r["pairs"] or []})) for r in rows], shares)
+    rows = [
+        (i, v, Counter(dict(zip(t.as_py(), n.as_py()))))
+        for i, v, t, n in zip(examples.column("doc_id").to_pylist(), label, examples.column("terms"), examples.column("counts"))
+    ]
+    number, weight = weigh(rows)
+    return build(number, weight, rows, shares)
+
+
+def weigh(rows: list[tuple]) -> tuple[dict[str, int], np.ndarray]:
+    """Every term of the examples, and its weight: inverse document frequency times absolute log-odds."""
+    held = [Counter(t for _, label, counts in rows if label == v for t in counts) for v in (0, 1)]
+    number = {t: i for i, t in enumerate(sorted(held[0].keys() | held[1].keys()))}
+    fine, bad = (np.array([h[t] for t in number], float) for h in held)
+    n = [sum(label == v for _, label, _ in rows) for v in (0, 1)]
+    idf = np.log((1 + len(rows)) / (1 + fine + bad)) + 1
+    return number, idf * np.abs(np.log((bad + 0.5) / (n[1] + 1)) - np.log((fine + 0.5) / (n[0] + 1)))
 
 
 def build(number: dict[str, int], idf: np.ndarray, rows: list[tuple], shares: dict[int, int]) -> Index:
     none = np.zeros(0)
-    index = Index(number, idf, none, none, none, none, none, none, 0.0, (0.0, 0.0))
+    index = Index(number, idf, none, none, none, none, none, none, none, none, 0.0, (0.0, 0.0))
     vectors = [index.vector(counts) if counts else (np.zeros(0, np.int64), none) for _, _, counts in rows]
     # examples that lean on the same term lie in the same blocks, which keeps block bounds tight
     order = sorted(range(len(rows)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else len(number), i))
@@ -160,12 +175,13 @@ def build(number: dict[str, int], idf: np.ndarray, rows: list[tuple], shares: di
     weight = np.concatenate([v[1] for v in vectors])
     at = np.lexsort((example, term))
     term, example, index.weight = term[at], example[at], weight[at]
-    index.place = example % BLOCK
+    index.place = example.astype(np.int32)
     cell = term * blocks + example // BLOCK
-    edges = np.searchsorted(cell, np.arange(len(number) * blocks + 1))
-    index.pointer = np.c_[edges[:-1].reshape(len(number), blocks), edges[blocks::blocks]] if len(number) else np.zeros((0, blocks + 1), np.int64)
-    index.largest = np.zeros((len(number), blocks))
-    np.maximum.at(index.largest.reshape(-1), cell, index.weight)
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    index.pointer = np.r_[first, len(cell)]
+    index.block = (cell[first] % blocks).astype(np.int32)
+    index.largest = np.maximum.reduceat(index.weight, first) if len(cell) else none
+    index.cells = np.searchsorted(term[first], np.arange(len(number) + 1))
     total = shares.get(0, 0) + shares.get(1, 0)
     index.prior = shares.get(1, 0) / total
     votes = np.array([index.vote(index.nearest(*v, NEIGHBOURS, leave=i) if len(v[0]) else []) for i, v in enumerate(vectors)])
@@ -194,7 +210,7 @@ def score(docs: DataFrame, index: Index | None, text: str = "text", key: str = "
     wanted = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = wanted.schema["doc_id"].dataType.simpleString()
     evidence = pa.list_(pa.struct([("example", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by PER_LABEL and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the words of 2 * PER_LABEL examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value

@@ -296,6 +296,16 @@ def test_examples_with_a_common_triple_all_stay(spark):
     assert sorted(index.ids.tolist()) == ids
 
 
+def test_words_of_both_labels_are_compared(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"shared own{i} {'slur' if i % 2 else 'kind'}") for i in ids] + [(100, "kind"), (101, f"own{ids[3]}"), (102, "never seen")], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"))
+    assert index.terms.keys() == {"shared", "slur", "kind", *(f"own{i}" for i in ids)}
+    found = {r["doc_id"]: r for r in toxicity.score(docs, index).collect()}
+    assert found[100]["score"] < found[102]["score"] and not any(e["label"] for e in found[100]["evidence"])
+    assert [e["example"] for e in found[101]["evidence"]] == [ids[3]] and not found[102]["evidence"]
+
+
 def test_language_held_out(spark):
     other = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{other}/documents.parquet").collect()}
