@@ -18,17 +18,20 @@ from memlake.llm.registry import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the bar; those without an id are judged by their text alone and stay."""
-    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    rejected = toxicity.score(docs, index).filter(F.col("score") >= toxicity.REJECT).select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose own text scores below the bar; ids play no part in it."""
+    return toxicity.below(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; a repeated id stays once, a null id only without a group."""
-    found = simhash.near_duplicates(docs)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_k")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_k")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group: the smallest id, no id last; rows of one id by the hash of the row.
+
+    Rows go by a number of their own, so a null or repeated id loses nothing but its near copies.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = simhash.near_duplicates(rows, key="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row")
+    stays = rows.select("_row", order.alias("_order")).join(found, "_row").groupBy("component_id").agg(F.min("_order")["_row"].alias("_row"))
+    return rows.join(stays.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

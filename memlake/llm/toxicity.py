@@ -97,6 +97,10 @@ class Index:
             best = sorted(best + list(zip(score[found].tolist(), found.tolist())), key=lambda x: (-round(x[0], 12), x[1]))[:k]
         return best
 
+    def near(self, text: str | None) -> list[tuple[float, int]]:
+        counts = Counter(filter(self.terms.__contains__, words(text or "")))
+        return self.nearest(*self.vector(counts), NEIGHBOURS) if counts else []
+
     def vote(self, near: list[tuple[float, int]]) -> float:
         weights = [s * s for s, _ in near]
         return (sum(x * self.label[i] for x, (_, i) in zip(weights, near)) + PRIOR_VOTE * self.prior) / (sum(weights) + PRIOR_VOTE)
@@ -218,10 +222,22 @@ def score(docs: DataFrame, index: Index | None, text: str = "text", key: str = "
             scores, why = [], []
             for text in batch.column("text"):
                 text = text.as_py()
-                counts = Counter(filter(index.terms.__contains__, words(text))) if index and text else None
-                near = index.nearest(*index.vector(counts), NEIGHBOURS) if counts else []
+                near = index.near(text) if index else []
                 scores.append(index.probability(index.vote(near)) if index else 0.0)
                 why.append([{"example": int(index.ids[i]), "similarity": s, "label": int(index.label[i])} for s, i in near[:3]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(why, evidence)], ["doc_id", "score", "evidence"])
 
     return wanted.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<example:long,similarity:double,label:int>>")
+
+
+def below(docs: DataFrame, index: Index | None, text: str = "text", bar: float = REJECT) -> DataFrame:
+    """The rows, with all their columns, whose text scores below ``bar``."""
+    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the words of 2 * PER_LABEL examples
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([index is None or index.probability(index.vote(index.near(x.as_py()))) < bar for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -394,3 +394,22 @@ def test_pipeline_stages_on_awkward_rows(spark, docs, empty, tmp_path):
         for name, stage in pipeline.STAGES:
             now = stage(spark, now, str(tmp_path)).cache()
             now.count()
+
+
+def test_pipeline_drops_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    known = [(i, f"shared own{i} {'slur' if i % 2 else 'kind'}") for i in ids]
+    docs = spark.createDataFrame([*known, (None, "shared slur"), (None, "shared kind"), (500, "shared slur"), (500, "shared kind")], "doc_id long, text string")
+    stay = Counter((r[0], r[1]) for r in pipeline.drop_toxic(spark, docs, str(tmp_path)).collect())
+    assert stay == Counter([*((i, x) for i, x in known if "kind" in x), (None, "shared kind"), (500, "shared kind")])
+
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcde")
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (2, e), (3, e), (2, d)]
+    docs = spark.createDataFrame([(*r, n % 2) for n, r in enumerate(rows)], "doc_id long, text string, other int")
+    single = Counter((r[0], r[1]) for r in pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert single == Counter([(1, a), (None, b), (None, c), (2, d), (2, e)])
+    again = pipeline.drop_near_duplicates(spark, docs.repartition(5, "other"), "")
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, pipeline.drop_near_duplicates(spark, docs, "").collect()))
