@@ -3,9 +3,13 @@
 Texts are counts of hashed byte 2- and 3-grams (ASCII lower-cased, square roots, to length
 one). One linear machine for each family against the rest picks the family; inside a
 family one machine for each pair of languages votes, the larger sum of margins deciding
-ties. Examples are a bounded sample, ``PER_LANGUAGE`` documents of each language in hash
-order and ``MAX_LANGUAGES`` languages by number of documents; what is counted and scored
-are whole texts.
+ties. Every language that may be learnt from is learnt. Examples are a bounded sample,
+``PER_LANGUAGE`` documents of each language in hash order; each family is trained in a Spark
+group of its own against about ``REST`` examples of all other languages, the same number of
+each. The model grows by one column for each family and pair. What is counted and scored are
+whole texts.
+
+Of an id with several texts in one language, the one with the smallest hash is the example.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every
 text if nothing could be learnt; with a single language known, that one is predicted with
@@ -21,15 +25,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import held_out, text_bytes
-from memlake.llm.grams import gram_rows, linear_svm
+from memlake.llm.common import held_out, text_bytes, written
+from memlake.llm.grams import BUCKETS, gram_rows, linear_svm
 from memlake.plans.ranking import top_n
 
 PER_LANGUAGE = 250
-MAX_LANGUAGES = 16
+#: Examples of other languages that a family is told from; one of each language at least.
+REST = 4000
 UNKNOWN = "und"
 #: Families of languages by ISO 639-1 code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -77,41 +83,70 @@ def _squash(margin: np.ndarray) -> np.ndarray:
 
 
 def examples(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The documents that may be learnt from: held-out ids, null languages and texts without a letter are left out."""
+    """``lang``, ``rank`` and ``text`` that may be learnt from: held-out ids, null languages and texts without a letter are left out."""
     usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    common = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    ids = top_n(usable.select("doc_id", "lang"), per_language, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")]).join(F.broadcast(common), "lang")
-    # per_language ids of MAX_LANGUAGES languages at most
-    return usable.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("lang", "text")
+    ids = top_n(usable.select("doc_id", "lang").distinct(), per_language, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")])
+    # per_language ids of each language
+    held = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["lang", "doc_id"])
+    return held.groupBy("lang", "doc_id", "rank").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "rank", "text")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, bounds = text_bytes(batch.column("text"))
         for i, j, x in gram_rows(data, bounds):
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), batch.column("rank").slice(i, j - i), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "rank", "x"])
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model | None:
-    rows = examples(docs, per_language).mapInArrow(_features, "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
-    if not rows.num_rows:
+    rows = written(examples(docs, per_language).mapInArrow(_features, "lang string, rank int, x binary"), "language-examples")
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not languages:
         return None
-    lang = np.array(rows.column("lang").to_pylist())
-    x = np.stack([np.frombuffer(r, np.float16) for r in rows.column("x").to_pylist()]).astype(np.float32)
     family_of = {code: name for name, codes in families.items() for code in codes}
-    family = np.array([family_of.get(v, f"={v}") for v in lang])
-    groups = [sorted(set(lang[family == f].tolist())) for f in sorted(set(family.tolist()))]
-    names = sorted(set(family.tolist()))
-    if len(names) == 1:
-        weights = np.zeros((x.shape[1] + 1, 1), np.float32)
-    else:
-        weights = np.stack([linear_svm(x, np.where(family == f, 1.0, -1.0)) for f in names], axis=1)
+    groups: dict[str, list[str]] = {}
+    for v in languages:
+        groups.setdefault(family_of.get(v, f"={v}"), []).append(v)
+    groups = dict(sorted(groups.items()))
+    each = max(1, REST // max(1, len(languages) - 1))
+    # REST examples, or one of each language
+    rest = rows.sparkSession.sparkContext.broadcast(rows.filter(F.col("rank") <= each).select("lang", "x").toArrow())
+
+    def train(own: pa.Table) -> pa.Table:
+        family = own.column("family")[0].as_py()
+        mine = groups[family]
+        others = rest.value.filter(pa.compute.invert(pa.compute.is_in(rest.value.column("lang"), pa.array(mine))))
+        lang, x = _matrix(own)
+        out = []
+        if others.num_rows:
+            held = pa.concat_tables([own.select(["lang", "x"]).cast(others.schema), others])
+            named, all_x = _matrix(held)
+            out.append((family, None, None, linear_svm(all_x, np.where(np.isin(named, mine), 1.0, -1.0))))
+        for a, b in combinations(mine, 2):
+            pair = (lang == a) | (lang == b)
+            out.append((family, a, b, linear_svm(x[pair], np.where(lang[pair] == a, 1.0, -1.0))))
+        return pa.table({
+            **{k: pa.array([r[i] for r in out], pa.string()) for i, k in enumerate(("family", "a", "b"))},
+            "weights": pa.array([r[3].astype(np.float32).tobytes() for r in out], pa.binary()),
+        })
+
+    named = F.coalesce(*[F.when(F.col("lang").isin(v), F.lit(f)) for f, v in groups.items() if f in families], F.concat(F.lit("="), F.col("lang")))
+    found = rows.withColumn("family", named).groupBy("family").applyInArrow(train, "family string, a string, b string, weights binary").collect()
+    weights = np.zeros((BUCKETS + 1, len(groups)), np.float32)
     pairs = {}
-    for languages in groups:
-        for a, b in combinations(languages, 2):
-            own = (lang == a) | (lang == b)
-            pairs[a, b] = linear_svm(x[own], np.where(lang[own] == a, 1.0, -1.0))
-    return Model(groups, weights, pairs)
+    for r in found:
+        if r["a"] is None:
+            weights[:, list(groups).index(r["family"])] = np.frombuffer(r["weights"], np.float32)
+        else:
+            pairs[r["a"], r["b"]] = np.frombuffer(r["weights"], np.float32)
+    return Model(list(groups.values()), weights, pairs)
+
+
+def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and features in an order of their own, whatever order rows came in."""
+    rows = rows.sort_by([("lang", "ascending"), ("x", "ascending")])
+    x = np.stack([np.frombuffer(r, np.float16) for r in rows.column("x").to_pylist()]).astype(np.float32)
+    return np.array(rows.column("lang").to_pylist()), x
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -119,7 +154,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", key: str
     body = F.col(text).cast("string")
     wanted = docs.select(F.col(key).alias("doc_id"), body.alias("text"), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     kind = wanted.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the buckets and MAX_LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a column of the buckets for each family and pair
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -314,6 +314,19 @@ def test_language_held_out(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in found if r["held_out"]]) > 0.95
 
 
+def test_every_language_is_learnt(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(20):
+        vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(12)]
+        rows += [(k * 30 + i, " ".join(rng.choice(vocabulary, 30)), ("de", "en", "fr")[k] if k < 3 else f"x{k}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len({v for f in model.families for v in f}) == 20
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert np.mean([found[i] == v for i, _, v in rows]) > 0.95
+
+
 def test_quality_finds_junk(spark):
     other = "/root/testdata/sf0.01"
     found = {r["doc_id"]: r for r in entry.queries()["op7_quality"](spark, other).collect()}
