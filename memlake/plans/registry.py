@@ -218,7 +218,7 @@ def import_rows(t):
 @_query
 def import_documents(t):
     rows = I.import_documents(t.md_docs, as_of())
-    notes = M.merge_notes(t.notes.limit(0), rows["notes"])
+    notes = M.merge_notes(t.notes, rows["notes"].withColumn("id", F.col("id") + 1_000_000_000))
     briefs = C.upsert_brief(t.project_brief, rows["briefs"], as_of())
     return (
         notes.select(F.lit("note").alias("kind"), "project_id", F.col("content").alias("text"))
@@ -372,8 +372,8 @@ def merge_notes(t):
 
 @_query
 def merge_errors(t):
-    incoming = t.error_log.withColumn("seq", F.col("id"))
-    out = M.merge_errors(t.error_patterns.limit(0), incoming)
+    incoming = t.error_log.withColumns({"seq": F.col("id"), "id": F.col("id") + 1_000_000_000})
+    out = M.merge_errors(t.error_patterns, incoming)
     return out.select("id", "project_id", "error_message", _list("attempted_fixes"), "resolution", "occurrence_count", "last_seen_at")
 
 

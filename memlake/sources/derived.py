@@ -1,7 +1,8 @@
 """Memory tables derived from the generic test parquet files.
 
 One SQL text per table, rendered for Spark or for an outside SQL engine used as
-a check. All tables are whole: every source row ends up in them.
+a check. All tables but ``project_brief`` (four documents of each source) are whole:
+every source row ends up in them.
 """
 
 from __future__ import annotations

@@ -118,3 +118,16 @@ def test_repeat_text_for_embedding(spark):
     (row,) = M.merge_errors(empty, incoming).collect()
     assert row.error_type == "general" and row.occurrence_count == 2
     assert row.embed_text == "Error: cannot read property value. Cause: unknown. Fix: restart"
+
+
+def test_queries_merge_into_whole_stored_tables(spark, sf):
+    import __spark_entry__ as entry
+    from memlake.sources.derived import Tables
+
+    t = Tables(spark, sf)
+    merged = entry.queries()["merge_errors"](spark, sf).collect()
+    stored = {r["id"]: r["occurrence_count"] for r in t.error_patterns.select("id", "occurrence_count").collect()}
+    assert stored.keys() <= {r["id"] for r in merged}
+    assert sum(r["occurrence_count"] for r in merged) == sum(stored.values()) + t.error_log.count()
+    notes = entry.queries()["import_documents"](spark, sf).filter("kind = 'note'").count()
+    assert notes >= t.notes.count()
