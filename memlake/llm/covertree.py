@@ -1,10 +1,11 @@
-"""Exact top-k inner products by dual-tree search over cover trees.
+"""Exact top-k inner products by one-sided search over cover trees.
 
 Vectors are dealt to shards, queries to blocks; each pair of a shard and a block is one
 task, so neither side is ever whole in one place. A task indexes its vectors and its
 queries in a cover tree each: the centres of a node's children cover its points within
 ``SHRINK`` of its radius and lie apart from one another by more than that; what few points
-are left over around a node stay with it. The search descends both trees at once. For a pair of nodes
+are left over around a node stay with it. The query tree is descended to its leaves first, so it only
+forms groups of up to 256 queries; bounds prune the data tree. For a group and a node
 no inner product exceeds that of their centres plus what the covering radii allow; the pair
 is pruned when that is below the worst k-th score of the query group. Tasks hand on k rows
 per query, and the best k of all shards are kept.
