@@ -168,8 +168,11 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", trained_o
     found = voted.groupBy("votes").count().orderBy("votes").collect()  # 3 ** N rows at most
     patterns = np.array([[int(c) for c in r["votes"]] for r in found], np.int64).reshape(-1, N)
     share, rates = agree(patterns, np.array([r["count"] for r in found], float)) if found else (0.5, np.full((2, N, 2), 0.5))
-    chosen = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trained_on).select(F.col("doc_id").alias(key)).distinct()
-    sample = docs.join(F.broadcast(chosen), key).select(F.col(text).cast("string").alias("text"))  # trained_on ids at most
+    chosen = voted.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trained_on).select(F.col("doc_id").alias(key))
+    held = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen.select(F.col(key).alias("_id"))), "_id")  # trained_on ids at most
+    # one row for each chosen id and text, trained_on at most
+    own = held.groupBy("_id", F.xxhash64("text").alias("_h")).agg(F.min("text").alias("text"))
+    sample = own.orderBy(F.xxhash64("_id"), "_id", "_h").limit(trained_on).select("text")
 
     def learn_from(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -335,6 +335,14 @@ def test_quality_finds_junk(spark):
     assert np.mean([not found[r["doc_id"]]["kept"] for r in labels if r["quality"] == 0]) > 0.45
 
 
+def test_quality_sample_is_bounded_by_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(weaklabels, "logistic", lambda x, y: seen.append(len(x)) or np.zeros(weaklabels.BUCKETS + 1, np.float32))
+    rows = [(1, f"text number {i} of one id") for i in range(40)] + [(i, f"text of id {i}") for i in range(2, 12)]
+    weaklabels.classify(spark.createDataFrame(rows, "doc_id long, text string"), trained_on=11)
+    assert seen == [11]
+
+
 def test_models_on_awkward_rows(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 15)] + [(4, None), (5, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
