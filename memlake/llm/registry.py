@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import covertree, langid, mixing, packing, repetition, simhash, suffixdedup, toxicity, urls, weaklabels
+from memlake.llm import covertree, langid, merkle, mixing, packing, repetition, simhash, spelling, suffixdedup, toxicity, urls, weaklabels
 from memlake.llm.common import held_out, table
 
 
@@ -63,9 +63,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(suffixdedup.repeated_bytes(table(spark, sf_dir, "documents")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_repetition, op2_toxicity, op3_mixing, op4_packing, op5_simhash, op6_urls, op7_quality, op8_language, op9_topk, op10_suffix_dedup)
+    for f in (
+        op1_repetition, op2_toxicity, op3_mixing, op4_packing, op5_simhash, op6_urls, op7_quality, op8_language, op9_topk, op10_suffix_dedup,
+        op11_merkle, op13_spelling,
+    )
 }
 
 ORACLES = {
@@ -108,4 +119,79 @@ with v as (
   select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p
 )
 select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op11_merkle": r"""
+with recursive tab as materialized (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t
+), d as materialized (
+  select row_number() over () as id, doc_id, lang, n_chars,
+    case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id end || case when source is null then '-' else strlen(source) || ':' || source end
+      || case when lang is null then '-' else strlen(lang) || ':' || lang end as head,
+    case when text is null then '-' else strlen(text) || ':' || text end as tail,
+    xor(list_reduce(list_transform(range(1, length(doc_id::varchar) + 1), lambda k: ascii(substr(doc_id::varchar, k, 1))::bigint),
+      lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) % 7 = 0 as tampered
+  from documents, tab
+), h as materialized (
+  select id, doc_id, lang, sha256(head || case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars end || tail) as leaf,
+    case when tampered and n_chars is not null then sha256(head || strlen((n_chars::hugeint + 1)::varchar) || ':' || (n_chars::hugeint + 1) || tail) end as seen
+  from d
+), leaves as materialized (
+  select *, dense_rank() over (order by lang nulls first) - 1 as grp, row_number() over (partition by lang order by doc_id nulls first, leaf, id) - 1 as pos from h
+), tree as (
+  select 0 as level, grp, pos, leaf as hash, count(*) over (partition by grp) as n from leaves
+  union all
+  select level + 1, grp, pos // 2, sha256(string_agg(hash, '' order by pos)), (any_value(n) + 1) // 2 from tree where n > 1 group by level, grp, pos // 2
+), low as materialized (select * from tree), subroots as materialized (
+  select grp as pos, hash, count(*) over () as n from low where n = 1
+), top as (
+  select 0 as level, pos, hash, n from subroots
+  union all
+  select level + 1, pos // 2, sha256(string_agg(hash, '' order by pos)), (any_value(n) + 1) // 2 from top where n > 1 group by level, pos // 2
+), high as materialized (select * from top), nodes as materialized (
+  select 0 as tree, level, grp, pos, hash, n from low union all select 1, level, 0, pos, hash, n from high
+), climb as (
+  select id, 0 as tree, 0 as level, grp, pos, (select n from nodes x where x.tree = 0 and x.level = 0 and x.grp = l.grp and x.pos = l.pos) as n, coalesce(seen, leaf) as folded, '' as proof from leaves l
+  union all
+  select c.id, c.tree + (c.n = 1)::int, case when c.n = 1 then 0 else c.level + 1 end, case when c.n = 1 then 0 else c.grp end,
+    case when c.n = 1 then c.grp else c.pos // 2 end, case when c.n = 1 then (select max(n) from subroots) else (c.n + 1) // 2 end,
+    case when c.n = 1 then c.folded when s.hash is null then sha256(c.folded) when c.pos % 2 = 1 then sha256(s.hash || c.folded) else sha256(c.folded || s.hash) end,
+    c.proof || case when c.n > 1 then coalesce(s.hash, '') else '' end
+  from climb c left join nodes s on s.tree = c.tree and s.level = c.level and s.grp = c.grp and s.pos = xor(c.pos, 1)
+  where not (c.tree = 1 and c.n = 1)
+), done as (select * from climb where tree = 1 and n = 1), root as (select hash from high where n = 1)
+select l.doc_id, l.leaf, s.hash as subroot, root.hash as root, sha256(done.proof) as proof_sha256, done.folded as folded_root, done.folded = root.hash as verified
+from leaves l join done using (id) join subroots s on s.pos = l.grp, root""",
+    "op13_spelling": r"""
+with recursive tab as materialized (
+  select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as t
+), r as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents
+), d as materialized (
+  -- UTF-8 bytes of the id, a colon and the run: letters above 7F have two
+  select run, count(*) as n, list_concat(
+    list_transform(range(1, length(coalesce(doc_id::varchar, '')) + 2), lambda k: ascii(substr(coalesce(doc_id::varchar, '') || ':', k, 1))::bigint),
+    flatten(list_transform(range(1, length(run) + 1), lambda k: case when unicode(substr(run, k, 1)) < 128 then [unicode(substr(run, k, 1))::bigint]
+      else [(192 + (unicode(substr(run, k, 1)) >> 6))::bigint, (128 + (unicode(substr(run, k, 1)) & 63))::bigint] end))) as bytes
+  from r group by run, doc_id
+), h as (
+  select run, n, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) as h from d, tab
+), w as materialized (
+  select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, sum(n)::bigint as n
+  from h group by word having sum(n) >= 2 and length(word) >= 7
+), gone as materialized (
+  -- every word without its letter at k, and whole as k = 0
+  select word, n, k, case when k = 0 then word else substr(word, 1, k - 1) || substr(word, k + 1) end as less
+  from (select word, n, unnest(range(0, length(word) + 1)) as k from w)
+), near as materialized (
+  select distinct a.word, a.n, b.word as near, b.n as near_n from gone a join gone b on a.less = b.less and a.word <> b.word and (a.k = b.k or a.k = 0 or b.k = 0)
+), best as (
+  select word, any_value(n) as n, count(*) as n_near, (list(near order by near_n desc, encode(near)))[1] as near, max(near_n) as near_n from near group by word
+), f as materialized (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.near_n >= 10 * w.n then b.near end as form, case when b.near_n >= 10 * w.n then b.near_n end as form_n
+  from w left join best b using (word)
+), walk as (
+  select word, coalesce(form, word) as at, form is null as stop from f
+  union all
+  select walk.word, coalesce(f.form, f.word), f.form is null from walk join f on walk.at = f.word where not stop
+)
+select f.word, f.form, walk.at as root, f.n, f.n_near, f.form_n from f join walk using (word) where stop""",
 }
