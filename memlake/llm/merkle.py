@@ -36,7 +36,7 @@ from memlake.llm.common import discard, written
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Levels that one row of the node table, and one step of the climb, goes up.
 STRIDE = 8
-TOP_NODES = 1 << 16
+TOP_NODES = 1 << 12
 ROWS_PER_SALT = 1 << 16
 #: Blocks whose path rows are built at once.
 BLOCKS = 32
