@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import covertree, langid, merkle, mixing, packing, repetition, simhash, spelling, suffixdedup, toxicity, urls, weaklabels
+from memlake.llm import covertree, langid, merkle, mixing, packing, repetition, secretscan, simhash, spelling, suffixdedup, toxicity, urls, weaklabels
 from memlake.llm.common import held_out, table
 
 
@@ -67,6 +67,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secretscan.scan(docs, secretscan.fit(secretscan.findings(docs)))
+    return secretscan.digests(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -75,7 +81,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_repetition, op2_toxicity, op3_mixing, op4_packing, op5_simhash, op6_urls, op7_quality, op8_language, op9_topk, op10_suffix_dedup,
-        op11_merkle, op13_spelling,
+        op11_merkle, op12_secrets, op13_spelling,
     )
 }
 
