@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import PIECE_BYTES, discard, pieces, prefix, range_hashes, text_bytes, written
+from memlake.plans.skew import MAX_HOT_KEYS, SALT, SPLITS, repeat, spread
 
 LENGTH = 200
 #: Bytes of content by which anchors are compared first.
@@ -45,6 +46,9 @@ CORE = 50
 #: Windows whose common bytes are compared at once.
 STEP = 25
 
+#: Rows of one key that a task joins; more are split by salt.
+ROWS_PER_KEY = 8192
+
 _PLACE = np.uint64((1 << 24) - 1)
 _CORE_SEED, _REACH_SEED = 1, 2
 
@@ -138,37 +142,45 @@ def _anchor_rows(docs: DataFrame, length: int, core: int) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(run, "uid long, core long, reach long, a int, next int, lo int, hi int, len int")
 
 
+def _sharing(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``known`` (one row a key, ``_n`` of ``rows`` each); keys of many rows are split by salt."""
+    hot = known.filter(F.col("_n") > ROWS_PER_KEY).orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS)
+    hot = hot.select(*keys, F.ceil(F.col("_n") / ROWS_PER_KEY).cast("int").alias(SPLITS))
+    return spread(rows, hot, keys, F.hash(*rows.columns)).join(repeat(known, hot, keys), [*keys, SALT]).drop(SALT, "_n")
+
+
 def _reranked(rows: DataFrame, pair: list[str], level: int) -> DataFrame:
     """Rows whose pair occurs more than once, with the pair's rank in sorted order as ``rank``.
 
+    ``in_uid`` and ``in_a`` say where the string stands in the document of smallest number that has it.
     Ranks of different levels differ in their top bits.
     """
-    twice = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    sorted_pairs = twice.orderBy(*pair).withColumn("_new", F.monotonically_increasing_id() + F.lit(level << 56))
+    twice = rows.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"), F.min("uid").alias("in_uid"), F.min_by("a", "uid").alias("in_a")).filter("_n > 1")
+    sorted_pairs = twice.orderBy(*pair).withColumn("rank", F.monotonically_increasing_id() + F.lit(level << 56))
     ranks = written(sorted_pairs, "doubling-ranks")
-    ranked = written(rows.join(ranks, pair).select("uid", "a", "next", "len", F.col("_new").alias("rank")), "doubling-rows")
+    ranked = written(_sharing(rows, ranks, pair).select("uid", "a", "next", "len", "rank", "in_uid", "in_a"), "doubling-rows")
     discard(ranks)
     return ranked
 
 
 def doubled(kept: DataFrame, length: int) -> DataFrame:
-    """Strings between anchors that repeat and have ``length`` bytes or more: ``uid``, ``start``, ``end``."""
+    """Strings between anchors that repeat and have ``length`` bytes or more: ``uid``, ``start``, ``end``, and where else they stand."""
     level = 0
     now = _reranked(kept.filter(F.col("next") >= 0).select("uid", "a", "next", "len", "core", "reach"), ["core", "reach"], level)
     done = now.filter(F.col("len") >= length)
     # few strings stay short for long; as a table of their own, Spark knows their size when it plans the join
-    short = written(now.filter(F.col("len") < length), "doubling-short")
+    short = written(now.filter(F.col("len") < length).drop("in_uid", "in_a"), "doubling-short")
     while not short.isEmpty():
         # a string that is long enough keeps its rank, as the right half of those before it
-        right = short.union(done).select("uid", F.col("a").alias("next"), F.col("next").alias("_next"), F.col("len").alias("_len"), F.col("rank").alias("right"))
+        right = short.unionByName(done.drop("in_uid", "in_a")).select("uid", F.col("a").alias("next"), F.col("next").alias("_next"), F.col("len").alias("_len"), F.col("rank").alias("right"))
         pairs = short.join(right, ["uid", "next"]).select(
             "uid", "a", F.col("_next").alias("next"), (F.col("next") - F.col("a") + F.col("_len")).alias("len"), F.col("rank").alias("left"), "right")
         level += 1
         now = _reranked(pairs, ["left", "right"], level)
-        last, short = short, written(now.filter(F.col("len") < length), "doubling-short")
-        done = done.union(now.filter(F.col("len") >= length))
+        last, short = short, written(now.filter(F.col("len") < length).drop("in_uid", "in_a"), "doubling-short")
+        done = done.unionByName(now.filter(F.col("len") >= length))
         discard(last)
-    return done.select("uid", F.col("a").alias("start"), (F.col("a") + F.col("len")).alias("end"))
+    return done.select("uid", F.col("a").alias("start"), (F.col("a") + F.col("len")).alias("end"), "in_uid", (F.col("a") - F.col("in_a")).alias("shift"))
 
 
 _SPAN = "array<struct<start:int,end:int>>"
@@ -194,7 +206,9 @@ def _lists(column: pa.Array, names: list[str]) -> tuple[np.ndarray, dict[str, np
 class _Piece:
     """Documents of a batch side by side, with their anchors and covers counted from the first byte of all."""
 
-    def __init__(self, bounds: np.ndarray, i: int, j: int, anchors: tuple[np.ndarray, dict], covers: tuple[np.ndarray, dict]) -> None:
+    def __init__(
+        self, bounds: np.ndarray, i: int, j: int, anchors: tuple[np.ndarray, dict], covers: tuple[np.ndarray, dict], echoes: tuple[np.ndarray, dict] | None = None,
+    ) -> None:
         at, fields = anchors
         own = slice(at[i], at[j])
         self.doc = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
@@ -205,6 +219,21 @@ class _Piece:
         base = bounds[np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))] - bounds[i]
         self.covers = united(np.c_[fields["start"][own] + base, fields["end"][own] + base])
         self.base = bounds[self.doc] - bounds[i]
+        self.echoes = np.zeros((0, 2), np.int64)
+        if echoes is not None:
+            at, fields = echoes
+            own = slice(at[i], at[j])
+            base = bounds[np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))] - bounds[i]
+            held = np.c_[fields["start"][own] + base, fields["end"][own] + base]
+            held = held[np.argsort(held[:, 0], kind="stable")]
+            self.echoes = np.c_[held[:, 0], np.maximum.accumulate(held[:, 1])] if len(held) else held
+
+    def echoed(self, p: np.ndarray, length: int) -> np.ndarray:
+        """Whether the windows at p lie inside one string that doubling has found in a document of smaller number."""
+        if not len(self.echoes):
+            return np.zeros(len(p), bool)
+        at = np.searchsorted(self.echoes[:, 0], p, "right") - 1
+        return (at >= 0) & (self.echoes[np.maximum(at, 0), 1] >= p + length)
 
     def open(self, p: np.ndarray, length: int) -> np.ndarray:
         """Whether the windows at p have bytes outside every cover."""
@@ -224,12 +253,17 @@ def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _pieces_of(batch: pa.RecordBatch, text: str, names: list[str]) -> Iterator[tuple[_Piece, np.ndarray]]:
     data, bounds = text_bytes(batch.column("row").field(text))
     anchors, covers = _lists(batch.column("anchors"), names), _lists(batch.column("covers"), ["start", "end"])
+    echoes = _lists(batch.column("echoes"), ["start", "end"]) if "echoes" in batch.schema.names else None
     for i, j in pieces(bounds):
-        yield _Piece(bounds, i, j, anchors, covers), data[bounds[i] : bounds[j]]
+        yield _Piece(bounds, i, j, anchors, covers, echoes), data[bounds[i] : bounds[j]]
 
 
 def _steps(joined: DataFrame, text: str, length: int) -> DataFrame:
-    """For every ``STEP`` windows of the given anchors: a hash of the bytes they share, and whether one of them asks."""
+    """For every ``STEP`` windows of the given anchors: a hash of the bytes they share, and whether one of them asks.
+
+    Windows inside a string whose rank is also that of a document of smaller number need no hash: doubling has settled
+    their own bytes, and to others they are what the same window is there.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column("uid").to_numpy()
@@ -239,8 +273,10 @@ def _steps(joined: DataFrame, text: str, length: int) -> DataFrame:
                 begin = a[of] - STEP * q
                 first, last = np.maximum(lo[of], begin - STEP + 1), np.minimum(hi[of], begin)
                 p, group = _spread(first, last)
-                asks = np.zeros(len(q), bool)
+                asks, stays = np.zeros(len(q), bool), np.zeros(len(q), bool)
                 asks[group[piece.open(p, length)]] = True
+                stays[group[~piece.echoed(p, length)]] = True
+                asks, q, of, begin, first, last = (x[stays] for x in (asks, q, of, begin, first, last))
                 hashes = range_hashes(data)(begin, begin + length - STEP + 1) ^ (q.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 base, window = piece.base[of], range_hashes(data)
                 yield pa.RecordBatch.from_arrays([
@@ -297,44 +333,46 @@ def repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     carried = docs.select(uid.alias("uid"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     # each step is written: what it read and shuffled can go before the next one shuffles, and no step runs twice
     rows = written(_anchor_rows(docs.select(uid.alias("uid"), body.alias("text")), length, core), "suffix-anchors")
-    twice = rows.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("core")
+    twice = written(rows.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "suffix-cores")
     # a row for each document: the anchors whose content occurs again (those of a repeated row once)
     fields = ["core", "reach", "a", "next", "lo", "hi", "len"]
-    kept = written(rows.join(twice, "core").groupBy("uid").agg(F.collect_set(F.struct(*fields)).alias("anchors")), "doubling-anchors")
-    discard(rows)
+    kept = written(_sharing(rows, twice, ["core"]).groupBy("uid").agg(F.collect_set(F.struct(*fields)).alias("anchors")), "doubling-anchors")
+    discard(rows, twice)
     found = doubled(kept.select("uid", F.explode("anchors").alias("_x")).select("uid", "_x.*"), length)
-    certain = written(_united(found), "doubling-covers")
+    certain = written(_settled(found), "doubling-covers")
     discard(found)
-    every = written(_steps(carried.join(kept.join(certain, "uid", "left"), "uid"), text, length), "all-steps")
+    asked = kept.select("uid", F.transform("anchors", lambda x: F.struct(*[x[f].alias(f) for f in ("core", "a", "lo", "hi")])).alias("anchors"))
+    every = written(_steps(carried.select("uid", F.struct(F.col(f"row.{text}").cast("string").alias(text)).alias("row")).join(asked.join(certain, "uid", "left"), "uid"), text, length), "all-steps")
     discard(kept)
-    again = every.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n"), F.max("asks").alias("_asked")).filter("_n > 1 and _asked")
-    steps = written(every.join(again, ["core", "hash"], "left_semi"), "doubling-steps")
-    discard(every)
+    again = every.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n"), F.max("asks").alias("_asked")).filter("_n > 1 and _asked").drop("_asked")
+    again = written(again, "shared-steps")
+    steps = written(_sharing(every, again, ["core", "hash"]), "doubling-steps")
+    discard(every, again)
     # the outermost windows of each step
     ends = F.explode(F.array_distinct(F.array(F.struct(F.col("lo").alias("p"), F.col("at_lo").alias("hash")), F.struct(F.col("hi").alias("p"), F.col("at_hi").alias("hash")))))
     outer = steps.select("uid", "core", ends.alias("_x")).select("uid", "core", "_x.*")
-    outer = _hits(outer, outer, length)
-    covers = written(_united(certain.select("uid", F.explode("covers").alias("_x")).select("uid", "_x.*").union(outer)), "doubling-covers")
-    discard(certain)
+    outer, again = _hits(outer, outer, length)
+    covers = written(_united(certain.select("uid", F.explode("covers").alias("_x")).select("uid", "_x.*").union(outer)), "all-covers")
+    discard(certain, again)
     # all windows of the steps that still have open bytes, and of those with the same content
     grouped = steps.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "core", "hash")).alias("steps"))
     held = written(_still_open(grouped.join(covers, "uid", "left"), length), "open-steps")
     discard(steps)
-    again = held.groupBy("core", "hash").agg(F.max("asks").alias("_asked")).filter("_asked")
-    left = written(held.join(again, ["core", "hash"], "left_semi").groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "core")).alias("anchors")), "open-anchors")
-    discard(held)
-    windows = written(_windows(carried.join(left.join(covers, "uid", "left"), "uid"), text, length), "open-windows")
+    again = written(held.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n"), F.max("asks").alias("_asked")).filter("_asked").drop("_asked"), "shared-steps")
+    left = written(_sharing(held, again, ["core", "hash"]).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "core")).alias("anchors")), "open-anchors")
+    discard(held, again)
+    windows = written(_windows(carried.select("uid", F.struct(F.col(f"row.{text}").cast("string").alias(text)).alias("row")).join(left.join(covers, "uid", "left"), "uid"), text, length), "open-windows")
     discard(left)
-    edges = _hits(windows, windows.filter("asks"), length)
+    edges, again = _hits(windows, windows.filter("asks"), length)
     removed = written(_united(covers.select("uid", F.explode("covers").alias("_x")).select("uid", "_x.*").union(edges)).withColumnRenamed("covers", "removed"), "repeated-spans")
-    discard(covers, windows)
+    discard(covers, windows, again)
     return carried.join(removed, "uid", "left").select("row", F.coalesce("removed", F.array().cast(_SPAN)).alias("removed"))
 
 
-def _hits(windows: DataFrame, asking: DataFrame, length: int) -> DataFrame:
-    """Spans of the asking windows whose content other windows have as well."""
-    again = windows.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return asking.join(again, ["core", "hash"], "left_semi").select("uid", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
+def _hits(windows: DataFrame, asking: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of the asking windows whose content other windows have as well, and the table of such contents."""
+    again = written(windows.groupBy("core", "hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "shared-windows")
+    return _sharing(asking, again, ["core", "hash"]).select("uid", F.col("p").alias("start"), (F.col("p") + length).alias("end")), again
 
 
 def _united(spans: DataFrame) -> DataFrame:
@@ -343,15 +381,42 @@ def _united(spans: DataFrame) -> DataFrame:
         for batch in batches:
             at, fields = _lists(batch.column("spans"), ["start", "end"])
             out = [united(np.c_[fields["start"][a:b], fields["end"][a:b]]) for a, b in zip(at, at[1:])]
-            size = prefix(np.array([len(x) for x in out], np.int64))
-            both = np.concatenate(out).astype(np.int32) if out else np.zeros((0, 2), np.int32)
-            held = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["start", "end"])
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.ListArray.from_arrays(pa.array(size.astype(np.int32)), held)], ["uid", "covers"])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), _span_lists(out)], ["uid", "covers"])
 
     lists = spans.select("uid", "start", "end").groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return lists.mapInArrow(run, f"uid long, covers {_SPAN}")
 
 
+def _settled(found: DataFrame) -> DataFrame:
+    """``uid``, ``covers`` (the sorted, disjoint spans of its strings) and ``echoes``: spans that a document of smaller number has whole.
+
+    Strings that overlap and stand in the other document at the same distance are one longer string of both.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid = batch.column("uid").to_numpy()
+            at, fields = _lists(batch.column("spans"), ["start", "end", "in_uid", "shift"])
+            spans = np.c_[fields["start"], fields["end"]]
+            covers, echoes = [], []
+            for own, a, b in zip(uid.tolist(), at, at[1:]):
+                covers.append(united(spans[a:b]))
+                mine = np.flatnonzero(fields["in_uid"][a:b] < own) + a
+                order = mine[np.lexsort((spans[mine, 0], fields["shift"][mine], fields["in_uid"][mine]))]
+                same = np.r_[False, (np.diff(fields["in_uid"][order]) == 0) & (np.diff(fields["shift"][order]) == 0)] if len(order) else np.zeros(0, bool)
+                group = np.flatnonzero(~same)
+                echoes.append(np.concatenate([united(spans[x]) for x in np.split(order, group[1:])]) if len(order) else np.zeros((0, 2), np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), _span_lists(covers), _span_lists(echoes)], ["uid", "covers", "echoes"])
+
+    lists = found.groupBy("uid").agg(F.collect_list(F.struct("start", "end", "in_uid", "shift")).alias("spans"))
+    return lists.mapInArrow(run, f"uid long, covers {_SPAN}, echoes {_SPAN}")
+
+
+def _span_lists(rows: list[np.ndarray]) -> pa.Array:
+    size = prefix(np.array([len(x) for x in rows], np.int64))
+    both = np.concatenate(rows).astype(np.int32) if rows else np.zeros((0, 2), np.int32)
+    return pa.ListArray.from_arrays(pa.array(size.astype(np.int32)), pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["start", "end"]))
+
+
 def kept_parts(text: bytes, removed: list[tuple[int, int]]) -> bytes:
     parts, at = [], 0
     for start, end in removed:
