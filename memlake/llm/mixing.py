@@ -9,8 +9,9 @@ is repeated in part, so a source's words meet its target to the word.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a source of
 size 0 has target 0; a null source is a source of its own, the last one; repeated
-rows are documents of their own; an empty table gives an empty result; columns of the
-input whose names clash with results are not carried along.
+rows, rows of one id and rows without one are documents of their own; texts of any length are counted whole;
+of rows that tie in the seeded order the shorter comes first, equal ones are interchangeable; an empty table gives
+an empty result; columns of the input whose names clash with results are not carried along.
 """
 
 from __future__ import annotations
@@ -20,12 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import word_count, written
+from memlake.llm.common import discard, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-#: Rows of one source that one running sum goes over; larger sources are cut by seeded order.
-ROWS_PER_SLICE = 4096
 
 
 def ranked_sources(sizes: DataFrame, weights: Sequence[float]) -> DataFrame:
@@ -72,47 +71,54 @@ def water_fill(sources: DataFrame, total: int, max_epochs: float) -> tuple[float
         level = risen
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, key: str = "doc_id") -> DataFrame:
+def mix(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, key: str = "doc_id", row: str | None = None,
+) -> DataFrame:
     """Every document with its size, its source's size and target, and how often it is taken.
 
-    Returns ``key``, ``source``, ``size``, ``source_size``, ``target`` and ``taken`` (words,
-    repeats counted). Documents stand in a seeded order (a digest of seed and key) with
-    running sizes; slices of that order are summed first, so no task holds a whole source.
+    Returns ``key``, ``row`` (a column that numbers the rows, if given), ``source``, ``size``, ``source_size``, ``target`` and
+    ``taken`` (words, repeats counted). Documents stand in a seeded order: by a digest of seed and key, rows of one key by size and
+    text. The order is a range-partitioned sort down to the row, so rows of one source or one key are as many partitions as
+    they need; sums of a source over the partitions before carry the running sizes on.
     """
-    sized = written(docs.select(key, "source", word_count(F.col("text")).alias("size")), "mixing-sizes")
-    sources = ranked_sources(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")).drop("_rows"), weights)
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    sized = written(docs.select(
+        F.col(key).alias("_key"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), number.alias("_number"),
+        digest.alias("_digest"), F.xxhash64("text").alias("_text")), "mixing-sizes")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = ranked_sources(totals, weights)
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     level, factor = water_fill(sources.filter(F.col("source_size") > 0), total, max_epochs)
     target = F.least(F.col("source_size") * F.lit(factor), F.col("weight") * F.lit(level))
     sources = sources.withColumn("target", F.when(F.col("source_size") > 0, target).otherwise(0.0)).drop("weight")
-    ordered = sized.withColumn("_order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")))))
-    slices = max(1, -(-sized.count() // ROWS_PER_SLICE))
-    ordered = ordered.withColumn("_slice", (F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * slices / (1 << 32)).cast("int"))
-    by_slice = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ordered.groupBy("source", "_slice").agg(F.sum("size").alias("_n"))
-        .withColumn("_start", F.coalesce(F.sum("_n").over(by_slice), F.lit(0))).drop("_n")
-    )
-    within = Window.partitionBy("source", "_slice").orderBy("_order", key, "size").rowsBetween(Window.unboundedPreceding, 0)
+
+    order = ["source", "_digest", "_key", "size", "_text", "_number"]
+    placed = sized.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ordered = written(placed.withColumn("_part", F.shiftright("_id", 33)).drop("_digest", "_text"), "mixing-order")
+    discard(sized)
+    before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition that holds the source
+    starts = ordered.groupBy("source", "_part").agg(F.sum("size").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     shares = starts.join(sources, starts["source"].eqNullSafe(sources["source"])).select(
-        starts["source"].alias("_s"), starts["_slice"].alias("_c"), "_start", "source_size", "target")
-    ordered = ordered.withColumn("_up", F.sum("size").over(within))
-    full = ordered.join(shares, ordered["source"].eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_c")))
-    before = F.col("_start") + F.col("_up") - F.col("size")
+        starts["source"].alias("_s"), starts["_part"].alias("_p"), "_start", "source_size", "target")
+    within = Window.partitionBy("_part", "source").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    full = ordered.withColumn("_up", F.sum("size").over(within)).join(shares, (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
     whole = F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")))
     rest = F.floor(F.col("target") + F.lit(1e-6)) - whole * F.col("source_size")
-    part = F.least(F.col("size"), F.greatest(F.lit(0), rest - before))
+    part = F.least(F.col("size"), F.greatest(F.lit(0), rest - (F.col("_start") + F.col("_up") - F.col("size"))))
     taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(whole * F.col("size") + part)
-    return full.select(key, "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    numbers = [F.col("_number").alias(row)] if row else []
+    return full.select(F.col("_key").alias(key), *numbers, "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def repeat_documents(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+def repeat_documents(docs: DataFrame, mixed: DataFrame, row: str) -> DataFrame:
     """The mix itself: every document as often as it is taken; a part repeat has its first words.
 
-    Keys must be unique in ``docs``; the words of a part are joined by single spaces.
+    ``row`` numbers the rows of ``docs`` and tells in ``mixed`` which is meant, so rows of one id, or without one, are
+    documents of their own. The words of a part are joined by single spaces.
     """
-    taken = mixed.filter(F.col("taken") > 0).select(F.col(key).alias("_k"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    rows = docs.join(taken, docs[key].eqNullSafe(F.col("_k"))).withColumn(
+    taken = mixed.filter(F.col("taken") > 0).select(F.col(row).alias("_k"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    rows = docs.join(taken, docs[row] == F.col("_k")).withColumn(
         "_left", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1), lambda i: F.col("_taken") - i * F.col("_size"))))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("_left") >= F.col("_size"), docs["text"]).otherwise(F.array_join(F.slice(words, 1, F.col("_left").cast("int")), " "))
