@@ -41,8 +41,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    found = mixing.repeat_documents(docs, mixing.mix(docs))
+    """Every row as often as the mix takes it, whatever its id: rows go by a number of their own."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = mixing.repeat_documents(rows, mixing.mix(rows, row="_row"), "_row")
     return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
