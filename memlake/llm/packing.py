@@ -8,15 +8,19 @@ smallest of the other, until one is left. The window count begins at what the id
 and rises by one whenever a window would exceed its capacity.
 
 Defined results: a null or empty text is the end id alone; repeated rows and ids are
-packed one by one; an empty table gives an empty result; further columns of the input
-are ignored. A shard has some ``WINDOWS`` windows whatever the size of the corpus.
+packed one by one and spread over the shards by a number of their own; texts of any length are
+encoded whole, a piece of text at a time; among equal lengths the order is by id, start and content; an empty
+table gives an empty result; further columns of the input are ignored. A shard has some
+``WINDOWS`` windows whatever the size of the corpus.
 """
 
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +28,23 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import pieces, text_bytes, written
+from memlake.llm.common import discard, pieces, prefix, text_bytes, written
 
 CAPACITY = 4096
 CUT = 512
 WINDOWS = 64
 END_ID = 2
 #: Words, and pieces of words, whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: How the tokenizer's own file splits lower-cased text before it merges (fixed values).
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words of these characters are composed and lower-cased one character at a time.
-_SIMPLE = regex.compile(r"[\x21-\x7e\u00c0-\u00ff]+")
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+#: Words without these characters are composed and lower-cased one character at a time.
+_ODD = regex.compile(r"[^\x21-\x7e\u00c0-\u00ff\n]|<\|")
+
+
+#: The letter a byte-level model has for each byte: its own where that is printed, else the next from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class _Encoder:
@@ -45,36 +54,26 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        split: dict[bytes, list[str]] = {}
-        other: list[bytes] = []
-        for w in words:
-            text = w.decode()
-            if _SIMPLE.fullmatch(text) and "<|" not in text:
-                split[w] = _PIECES.findall(text.lower())
-            else:
-                other.append(w)
-        new = list({p for held in split.values() for p in held if p not in self.pieces})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            # each piece is a unit to the tokenizer, and the last id of a unit is one that ends words
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(some):
-                raise ValueError("the tokenizer splits text in another way than this packer")
-            raw = ids.tobytes()
-            for piece, a, b in zip(some, [0, *last[:-1].tolist()], last.tolist()):
-                self.pieces[piece] = raw[4 * a : 4 * b]
-        for w, held in split.items():
-            self.words[w] = b"".join(map(self.pieces.__getitem__, held))
-        for w in other:
-            self.words[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        held = {w: w.decode() for w in words}
+        if _ODD.search("\n".join(held.values())):
+            for w in [w for w, text in held.items() if _ODD.search(text)]:
+                self.words[w] = np.array(self.tokenizer.encode(held.pop(w), add_special_tokens=False).ids, "<u4").tobytes()
+        if not held:
+            return
+        # all words at once, each on a line of its own
+        parts = _PIECES.findall("\n".join(held.values()).lower())
+        tokenize = self.tokenizer.model.tokenize  # pieces are units to the model; all that comes before it has been done here
+        for piece in set(parts).difference(self.pieces, "\n"):
+            ids = [t.id for t in tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        ids = list(map(self.pieces.get, parts))
+        ends = [i for i, piece in enumerate(parts) if piece == "\n"] + [len(parts)]
+        for w, a, b in zip(held, [0, *(i + 1 for i in ends)], ends):
+            self.words[w] = ids[a] if b - a == 1 else b"".join(ids[a:b])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
@@ -87,10 +86,12 @@ class _Encoder:
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
         split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.words)
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        ids = list(map(self.words.get, chain.from_iterable(split)))
+        if None in ids:
+            self.learn({w for w, held in zip(chain.from_iterable(split), ids) if held is None})
+            ids = list(map(self.words.__getitem__, chain.from_iterable(split)))
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(ids[i:j]) for i, j in zip([0, *ends], ends)]
 
 
 _ENCODERS: dict[str, _Encoder] = {}
@@ -111,23 +112,24 @@ def cuts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
-            row, start, length, crc, total = [], [], [], [], []
             for i, j in pieces(bounds):
-                for r, ids in enumerate(encoder(path).encode([data[bounds[r] : bounds[r + 1]].tobytes() for r in range(i, j)]), i):
-                    ids += end
-                    n = len(ids) // 4
-                    at = 0
-                    while at < n:
-                        size = capacity if n - at >= capacity else min(cut, n - at)
-                        row.append(r)
-                        start.append(at)
-                        length.append(size)
-                        crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
-                        total.append(n)
-                        at += size
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                raw = data[bounds[i] : bounds[j]].tobytes()
+                at = (bounds[i : j + 1] - bounds[i]).tolist()
+                ids = encoder(path).encode([raw[a:b] for a, b in zip(at, at[1:])])
+                total = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 + 1
+                full, rest = total // capacity, total % capacity
+                n = full + -(-rest // cut)
+                row = np.repeat(np.arange(len(ids)), n)
+                nth = np.arange(len(row)) - prefix(n)[:-1][row]
+                whole = full[row]
+                start = np.minimum(nth, whole) * capacity + np.maximum(nth - whole, 0) * cut
+                length = np.where(nth < whole, capacity, np.minimum(cut, total[row] - start))
+                held = memoryview(end.join([*ids, b""]))
+                first = 4 * (prefix(total)[:-1][row] + start)
+                crc = [zlib.crc32(held[a:b]) for a, b in zip(first.tolist(), (first + 4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row + i)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row]))],
+                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return wanted.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
@@ -162,7 +164,8 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, cut: int = CUT) -> DataFrame:
     """The pieces with the sequence they lie in and where: ``sequence_id``, ``offset``."""
-    found = written(cuts(docs, path, text, key, capacity, cut), "packing-cuts")
+    # the row number spreads equal pieces of repeated rows over the shards
+    found = written(cuts(docs, path, text, key, capacity, cut).withColumn("_row", F.monotonically_increasing_id()), "packing-cuts")
     tokens = found.agg(F.sum("length")).first()[0] or 0
     shards = max(1, round(tokens / (capacity * WINDOWS)))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -182,7 +185,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", ca
 
     kind = found.schema["doc_id"].dataType.simpleString()
     return (
-        found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+        found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_row"), F.lit(shards)))
         .groupBy("shard")
         .applyInArrow(deal, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     )
