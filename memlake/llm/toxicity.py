@@ -4,9 +4,9 @@ Examples are a bounded sample of the labelled rows, ``PER_LABEL`` of each label
 order, near copies included. Terms are all words of the examples, whichever label they lean
 to; inverse document frequency is multiplied by how far a word leans (absolute log-odds of
 the labels), so whole texts are compared and what tells labels apart counts most. Postings
-lie in blocks of ``BLOCK`` examples with the largest weight of each term and block; a query
-goes through the blocks by falling upper bound and stops at the first that can't reach its
-k-th best score, so the k nearest are exact. Neighbours vote with their squared similarity against a prior vote, and a
+lie in blocks of ``BLOCK`` examples with the largest weight of each term and block; the ``FREQUENT`` terms that most examples
+have are a matrix. A batch of texts is multiplied with the matrix first. The k-th best of these partial scores is a bar: a block
+is left out where its best partial score and the largest weights of the other terms together stay below it, so the k nearest are exact. Neighbours vote with their squared similarity against a prior vote, and a
 logistic curve fitted to leave-one-out votes of the examples, weighted to the share of
 labels in all labelled rows, makes the vote a probability.
 
@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,11 @@ from memlake.llm.common import held_out, written
 
 PER_LABEL = 3000
 NEIGHBOURS = 15
-BLOCK = 64
-#: Blocks a query goes through before it compares bounds with its k-th best score; four times as many from then on.
-FIRST_BLOCKS = 6
+BLOCK = 512
+#: Terms most examples have; their weights are kept as one matrix.
+FREQUENT = 256
+#: Texts that are searched for at once.
+TEXTS = 64
 PRIOR_VOTE = 0.5
 REJECT = 0.7
 
@@ -60,46 +63,57 @@ class Index:
     pointer: np.ndarray  # cell -> its first posting; one entry more than cells
     place: np.ndarray  # of a posting: the example
     weight: np.ndarray
+    column: np.ndarray  # of a frequent term in ``dense``, else -1
+    dense: np.ndarray  # weights of the frequent terms in all examples
     prior: float
     curve: tuple[float, float]
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([self.terms[w] for w in counts], np.int64)
-        w = (1 + np.log(np.array(list(counts.values()), float))) * self.idf[at]
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the index that a text has, and their weights, to length one."""
+        at = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), float, len(counts))[at >= 0]
+        at = at[at >= 0]
+        w = (1 + np.log(n)) * self.idf[at]
         return at, w / (np.sqrt((w * w).sum()) or 1.0)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave: int = -1) -> list[tuple[float, int]]:
         """The k examples of highest cosine above zero, as (score, position); ties to the lower position."""
+        return self.nearest_all([(at, w)], k, [leave])[0]
+
+    def nearest_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, leave: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """The same for several vectors. What frequent terms add is one product for all examples; of the rest, blocks that can't reach the bar are left out."""
+        dense = np.zeros((len(vectors), len(self.dense)))
+        for row, (at, w) in zip(dense, vectors):
+            column = self.column[at]
+            row[column[column >= 0]] = w[column >= 0]
+        return [self._search(at, w, score, k, -1 if leave is None else leave[i]) for i, ((at, w), score) in enumerate(zip(vectors, dense @ self.dense))]
+
+    def _search(self, at: np.ndarray, w: np.ndarray, score: np.ndarray, k: int, leave: int) -> list[tuple[float, int]]:
+        n = len(self.ids)
+        # frequent terms have no cells
         cell, q = _spread(self.cells[at], self.cells[at + 1], w)
         block = self.block[cell]
-        bound = np.bincount(block, q * self.largest[cell], minlength=-(-len(self.ids) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best: list[tuple[float, int]] = []
-        step = FIRST_BLOCKS
-        while len(order):
-            here = order[:step]
-            if len(best) == k:
-                here = here[bound[here] >= best[-1][0] - 1e-9]
-                if not len(here):
-                    break
-            order, step = order[step:], 4 * step
-            mine = np.zeros(len(bound), bool)
-            mine[here] = True
-            mine = np.flatnonzero(mine[block])
-            posting, x = _spread(self.pointer[cell[mine]], self.pointer[cell[mine] + 1], q[mine])
-            score = np.bincount(self.place[posting], x * self.weight[posting], minlength=len(self.ids))
-            if leave >= 0:
-                score[leave] = 0
-            found = np.flatnonzero(score)
-            if len(found) > k:
-                found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k] - 1e-9]
-            best = sorted(best + list(zip(score[found].tolist(), found.tolist())), key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return best
-
-    def near(self, text: str | None) -> list[tuple[float, int]]:
-        counts = Counter(filter(self.terms.__contains__, words(text or "")))
-        return self.nearest(*self.vector(counts), NEIGHBOURS) if counts else []
+        most = np.zeros(-(-n // BLOCK) * BLOCK)
+        most[:n] = score
+        most = most.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, q * self.largest[cell], minlength=-(-n // BLOCK))
+        if leave >= 0:
+            score[leave] = 0
+        # what the frequent terms alone give the k-th best is a bar for all
+        bar = np.partition(score, n - k)[n - k] if n > k else 0.0
+        mine = np.flatnonzero((most >= bar - 1e-9)[block])
+        posting, x = _spread(self.pointer[cell[mine]], self.pointer[cell[mine] + 1], q[mine])
+        if len(posting):
+            score += np.bincount(self.place[posting], x * self.weight[posting], minlength=n)
+        if leave >= 0:
+            score[leave] = 0
+        bar = np.partition(score, n - k)[n - k] - 1e-9 if n > k else 0.0
+        found = np.flatnonzero((score >= bar) & (score > 0))
+        return sorted(zip(score[found].tolist(), found.tolist()), key=lambda x: (-round(x[0], 12), x[1]))[:k]
+
+    def near(self, texts: list[str | None]) -> list[list[tuple[float, int]]]:
+        """The nearest examples of each text."""
+        vectors = [self.vector(Counter(words(text or ""))) for text in texts]
+        return self.nearest_all(vectors, NEIGHBOURS)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         weights = [s * s for s, _ in near]
@@ -167,8 +181,8 @@ def weigh(rows: list[tuple]) -> tuple[dict[str, int], np.ndarray]:
 
 def build(number: dict[str, int], idf: np.ndarray, rows: list[tuple], shares: dict[int, int]) -> Index:
     none = np.zeros(0)
-    index = Index(number, idf, none, none, none, none, none, none, none, none, 0.0, (0.0, 0.0))
-    vectors = [index.vector(counts) if counts else (np.zeros(0, np.int64), none) for _, _, counts in rows]
+    index = Index(number, idf, *[none] * 10, 0.0, (0.0, 0.0))
+    vectors = [index.vector(counts) for _, _, counts in rows]
     # examples that lean on the same term lie in the same blocks, which keeps block bounds tight
     order = sorted(range(len(rows)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else len(number), i))
     vectors, rows = [vectors[i] for i in order], [rows[i] for i in order]
@@ -177,6 +191,13 @@ def build(number: dict[str, int], idf: np.ndarray, rows: list[tuple], shares: di
     term = np.concatenate([v[0] for v in vectors])
     example = np.repeat(np.arange(len(rows)), [len(v[0]) for v in vectors])
     weight = np.concatenate([v[1] for v in vectors])
+    top = np.argsort(-np.bincount(term, minlength=len(number)), kind="stable")[:FREQUENT]
+    index.column = np.full(len(number), -1, np.int32)
+    index.column[top] = np.arange(len(top))
+    column = index.column[term]
+    index.dense = np.zeros((len(top), len(rows)))
+    index.dense[column[column >= 0], example[column >= 0]] = weight[column >= 0]
+    term, example, weight = (x[column < 0] for x in (term, example, weight))
     at = np.lexsort((example, term))
     term, example, index.weight = term[at], example[at], weight[at]
     index.place = example.astype(np.int32)
@@ -188,7 +209,8 @@ def build(number: dict[str, int], idf: np.ndarray, rows: list[tuple], shares: di
     index.cells = np.searchsorted(term[first], np.arange(len(number) + 1))
     total = shares.get(0, 0) + shares.get(1, 0)
     index.prior = shares.get(1, 0) / total
-    votes = np.array([index.vote(index.nearest(*v, NEIGHBOURS, leave=i) if len(v[0]) else []) for i, v in enumerate(vectors)])
+    near = [x for i in range(0, len(rows), TEXTS) for x in index.nearest_all(vectors[i : i + TEXTS], NEIGHBOURS, list(range(i, min(i + TEXTS, len(rows)))))]
+    votes = np.array([index.vote(x) for x in near])
     balance = np.where(index.label == 1, index.prior / index.label.sum(), (1 - index.prior) / (1 - index.label).sum()) * len(rows)
     index.curve = _logistic(votes, index.label, balance)
     return index
@@ -219,12 +241,11 @@ def score(docs: DataFrame, index: Index | None, text: str = "text", key: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            scores, why = [], []
-            for text in batch.column("text"):
-                text = text.as_py()
-                near = index.near(text) if index else []
-                scores.append(index.probability(index.vote(near)) if index else 0.0)
-                why.append([{"example": int(index.ids[i]), "similarity": s, "label": int(index.label[i])} for s, i in near[:3]])
+            scores, why = [0.0] * batch.num_rows, [[]] * batch.num_rows
+            if index:
+                found = [x for i in range(0, batch.num_rows, TEXTS) for x in index.near(batch.column("text").slice(i, TEXTS).to_pylist())]
+                scores = [index.probability(index.vote(near)) for near in found]
+                why = [[{"example": int(index.ids[i]), "similarity": s, "label": int(index.label[i])} for s, i in near[:3]] for near in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(why, evidence)], ["doc_id", "score", "evidence"])
 
     return wanted.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<example:long,similarity:double,label:int>>")
@@ -238,6 +259,10 @@ def below(docs: DataFrame, index: Index | None, text: str = "text", bar: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([index is None or index.probability(index.vote(index.near(x.as_py()))) < bar for x in batch.column(at)], pa.bool_()))
+            if index is None:
+                yield batch
+                continue
+            found = [x for i in range(0, batch.num_rows, TEXTS) for x in index.near(batch.column(at).slice(i, TEXTS).to_pylist())]
+            yield batch.filter(pa.array([index.probability(index.vote(near)) < bar for near in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
