@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from memlake.session import ensure_checkpoint_dir
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one round of array work takes at once (a longer document is taken alone).
 PIECE_BYTES = 1 << 20
+#: Bytes from which on a range is digested as a whole.
+LONG_RANGE = 256
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -122,7 +125,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def range_hashes(data: np.ndarray):
-    """Function giving 64-bit hashes of byte ranges of ``data``; equal ranges have equal hashes."""
+    """Function giving 64-bit hashes of byte ranges of ``data``; equal ranges have equal hashes.
+
+    A polynomial modulo 2**64 gives different ranges of ``LONG_RANGE`` bytes or less one hash only by chance; certain
+    longer ones it would confuse (Thue-Morse words from 1,024 bytes on), so those are digested byte by byte.
+    """
     up, down = _powers(len(data) + 1)
     sums = prefix((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], np.uint64)
 
@@ -131,6 +138,9 @@ def range_hashes(data: np.ndarray):
         h ^= (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(29))
+        h ^= h >> np.uint64(29)
+        for i in np.flatnonzero(end - start > LONG_RANGE).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest())
+        return h
 
     return of
