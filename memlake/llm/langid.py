@@ -34,6 +34,8 @@ from memlake.llm.grams import BUCKETS, gram_rows, linear_svm
 from memlake.plans.ranking import top_n
 
 PER_LANGUAGE = 250
+#: Parts in which the ids of a language are cut to their first PER_LANGUAGE.
+SALTS = 16
 #: Examples of other languages that a family is told from; one of each language at least.
 REST = 4000
 UNKNOWN = "und"
@@ -85,7 +87,11 @@ def _squash(margin: np.ndarray) -> np.ndarray:
 def examples(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """``lang``, ``rank`` and ``text`` that may be learnt from: held-out ids, null languages and texts without a letter are left out."""
     usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = top_n(usable.select("doc_id", "lang").distinct(), per_language, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")])
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # a frequent language is cut in SALTS parts first, so that no task takes what all others hand on
+    dealt = usable.select("doc_id", "lang", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("_salt")).distinct()
+    some = top_n(dealt, per_language, ["lang", "_salt"], order, "_first").drop("_salt", "_first")
+    ids = top_n(some, per_language, ["lang"], order)
     # per_language ids of each language
     held = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), ["lang", "doc_id"])
     return held.groupBy("lang", "doc_id", "rank").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "rank", "text")
