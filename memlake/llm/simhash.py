@@ -14,8 +14,8 @@ where a fingerprint lies, never whether a link is found.
 
 Defined results: texts without words (null, empty, blank) have fingerprint zero and link
 like any other; fewer than four words make one shingle; repeated rows and ids come back
-one by one; a null id never names a component that has another id; an empty table gives
-an empty result; further columns of the input are ignored.
+one by one; texts of any length are hashed whole; a null id never names a component that has another id; an empty table
+gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +28,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import text_bytes, written
+from memlake.llm.common import discard, text_bytes, written
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Fingerprints the top of the tree is built from.
+#: Fingerprints the top of the tree is built from, at least.
 SAMPLE = 1 << 17
 #: Fingerprints of a shard, and of a leaf inside one.
 PER_SHARD = 1 << 16
 PER_LEAF = 64
-#: Visitors compared with a leaf at once.
+#: Visitors compared with a leaf at once, and fingerprints that ask in one task.
 BLOCK = 1 << 14
+PER_BLOCK = 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -149,10 +150,10 @@ class _Sets:
             self.parent[max(a, b)] = min(a, b)
 
 
-def shard_forest(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Points and the representative of the set that links inside the shard put them in."""
+def shard_forest(points: np.ndarray, home: np.ndarray, radius: int, asks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Points and the representative of the set that links inside the shard put them in; only those that ask are looked up."""
     sets = _Sets(len(points))
-    waiting = [(np.flatnonzero(home), np.arange(len(points)))]
+    waiting = [(np.flatnonzero(home), np.arange(len(points)) if asks is None else np.flatnonzero(asks))]
     while waiting:
         own, asked = waiting.pop()
         if not len(own) or not len(asked):
@@ -183,12 +184,17 @@ def shard_forest(points: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs ``a``, ``b`` of fingerprints that span every group linked within ``radius`` bits."""
+    """Pairs ``a``, ``b`` of fingerprints that span every group linked within ``radius`` bits.
+
+    A shard's own fingerprints meet its visitors block by block: a block holds all of the shard's own and at most some
+    ``PER_BLOCK`` of those that ask, so a task stays as large as it is however many visitors a shard has.
+    """
     n = distinct.count()
-    depth = min(max(0, int(np.ceil(np.log2(max(1, n / PER_SHARD))))), int(np.log2(SAMPLE)) - 4)
+    depth = max(0, int(np.ceil(np.log2(max(1, n / PER_SHARD)))))
     nodes: list[tuple[int, int] | None] = []
     if depth:
-        sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column("fp").to_numpy()
+        # 16 fingerprints for each shard at least
+        sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, 16 << depth)).toArrow().column("fp").to_numpy()
         nodes = build_top(sample.view(np.uint64), depth)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +207,18 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     def search(held: pa.Table) -> pa.Table:
         order = np.argsort(held.column("fp").to_numpy(), kind="stable")
         points = held.column("fp").to_numpy()[order].view(np.uint64)
-        home = held.column("home").to_numpy(zero_copy_only=False)[order]
-        a, b = shard_forest(points, home, radius)
+        home, asks = (held.column(c).to_numpy(zero_copy_only=False)[order] for c in ("home", "asks"))
+        a, b = shard_forest(points, home, radius, asks)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    spread = distinct.select("fp").mapInArrow(visit, "shard int, fp long, home boolean")
-    return spread.groupBy("shard").applyInArrow(search, "a long, b long")
+    placed = written(distinct.select("fp").mapInArrow(visit, "shard int, fp long, home boolean"), "simhash-visits")
+    blocks = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PER_BLOCK).cast("int").alias("blocks"))
+    spread = placed.join(F.broadcast(blocks), "shard").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))  # a row for each shard
+    everywhere = F.when(F.col("home"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    dealt = spread.withColumn("block", F.explode(everywhere)).select("shard", "block", "fp", "home", (F.col("block") == F.col("own")).alias("asks"))
+    found = written(dealt.groupBy("shard", "block").applyInArrow(search, "a long, b long"), "simhash-links")
+    discard(placed)
+    return found
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -226,7 +238,8 @@ def components(pairs: DataFrame) -> DataFrame:
         least = large.groupBy("node").agg(F.min("low").alias("least"))
         joined = large.join(least, "node")
         small = joined.filter("low <> least").select(F.col("low").alias("node"), F.col("least").alias("low"))
-        stars = written(small.union(least.select("node", F.col("least").alias("low"))).distinct(), "simhash-edges")
+        last, stars = stars, written(small.union(least.select("node", F.col("least").alias("low"))).distinct(), "simhash-edges")
+        discard(last)
         now = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "low").cast("decimal(38,0)"))).first())
         if now == before:
             return stars.select("node", F.col("low").alias("root"))
