@@ -17,14 +17,12 @@ from pyspark.sql import functions as F
 
 from memlake.functions.predicates import all_of, eq, has_any_tag
 from memlake.operators.similarity import topk_similar
+from memlake.operators.substring import holding
 from memlake.plans.probe import MAX_SHIPPED_QUERIES, ROWS_PER_TASK, nearest
 from memlake.plans.ranking import top_n
-from memlake.plans.skew import SALT, hot_keys, repeat, spread
 from memlake.session import checkpointed
 
 PAYLOAD = ["source_type", "source_id", "content_type", "content_text", "tags", "created_at"]
-KEYWORD_ROWS_PER_TASK = 1_000_000
-MAX_SHIPPED_CHARS = 50_000_000
 
 
 def _filtered(memory: DataFrame, content_type: str | None, tags: Sequence[str] | None) -> DataFrame:
@@ -101,24 +99,10 @@ def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     return found.agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("recall"))
 
 
-def _newest_holding(
-    rows: DataFrame, text: str, asked: DataFrame, k: int, time: str, rows_per_task: int, max_shipped: int
-) -> DataFrame:
-    """The ``k`` newest rows holding each asked (project_id, _text), with the columns of ``rows``.
-
-    Few short texts (rows and characters checked) travel to the rows, which are then not
-    shuffled; otherwise both sides are shuffled by project, busy projects split by salt.
-    """
-    stored = rows.withColumn("_low", F.lower(text))
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_text")).alias("chars")).first()
-    if size.n <= max_shipped and (size.chars or 0) <= MAX_SHIPPED_CHARS:
-        joined = stored.join(F.broadcast(asked), "project_id")
-    else:
-        hot = hot_keys(rows, ["project_id"], rows_per_task)
-        left = spread(stored, hot, ["project_id"], F.col("id"))
-        joined = left.join(repeat(asked, hot, ["project_id"]), ["project_id", SALT]).drop(SALT)
-    hits = joined.filter(F.contains(F.col("_low"), F.col("_text"))).drop("_low")
-    return top_n(hits, k, ["project_id", "_text"], [F.col(time).desc(), F.col("id").asc()])
+def _newest_holding(rows: DataFrame, text: str, asked: DataFrame, k: int, time: str) -> DataFrame:
+    """``project_id``, ``_text``, ``id`` and ``rank`` of the ``k`` newest rows that hold each asked text, letter case aside."""
+    low = rows.select("project_id", "id", time, F.lower(text).alias("_low"))
+    return top_n(holding(low, asked, ["project_id"], "_low"), k, ["project_id", "_text"], [F.col(time).desc(), F.col("id").asc()]).drop(time)
 
 
 def keyword_search(
@@ -127,20 +111,17 @@ def keyword_search(
     k: int = 5,
     content_type: str | None = None,
     tags: Sequence[str] | None = None,
-    rows_per_task: int = KEYWORD_ROWS_PER_TASK,
-    max_shipped: int = MAX_SHIPPED_QUERIES,
 ) -> DataFrame:
     """Newest rows whose text contains the query text, score 0.
 
-    Equal texts asked in one project are looked up once.
+    Equal texts asked in one project are looked up once; what is stored beside the text joins the hits only.
     """
-    rows = _filtered(memory, content_type, tags).select("project_id", "id", *PAYLOAD)
+    rows = _filtered(memory, content_type, tags)
     named = queries.select("query_id", "project_id", F.lower("query_text").alias("_text")).filter("_text is not null")
     asked = named.select("project_id", "_text").distinct()
-    best = _newest_holding(rows, "content_text", asked, k, "created_at", rows_per_task, max_shipped)
-    return named.join(best, ["project_id", "_text"]).select(
-        "id", *PAYLOAD, "query_id", "rank", F.lit(0.0).alias("similarity"), F.lit("keyword").alias("search_mode")
-    )
+    hits = named.join(_newest_holding(rows, "content_text", asked, k, "created_at"), ["project_id", "_text"])
+    return rows.select("id", *PAYLOAD).join(hits.select("id", "query_id", "rank"), "id").withColumns(
+        {"similarity": F.lit(0.0), "search_mode": F.lit("keyword")})
 
 
 def hybrid_search(
@@ -175,10 +156,7 @@ def match_errors_keyword(queries: DataFrame, errors: DataFrame, k: int = 3) -> D
     """Known errors holding the first 100 characters of the asked text, last seen first."""
     named = queries.select("query_id", "project_id", F.lower(F.substring("query_text", 1, 100)).alias("_text"))
     asked = named.select("project_id", "_text").filter("_text is not null").distinct()
-    rows = errors.select("project_id", "id", "error_message", "last_seen_at")
-    best = _newest_holding(
-        rows, "error_message", asked, k, "last_seen_at", KEYWORD_ROWS_PER_TASK, MAX_SHIPPED_QUERIES
-    )
+    best = _newest_holding(errors, "error_message", asked, k, "last_seen_at")
     return named.join(best, ["project_id", "_text"]).select(
         "query_id", "id", "rank", F.lit(0.0).alias("match_score"), F.lit("keyword").alias("match_type")
     )

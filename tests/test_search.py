@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators import search as S
+from memlake.operators import substring
 from memlake.plans import probe
 from memlake.plans.probe import nearest
 
@@ -74,10 +75,9 @@ def test_probing_all_cells_is_exact(vectors):
     assert 0.3 < recall.recall <= 1
 
 
-@pytest.mark.parametrize("rows_per_task,max_shipped", [(3, 0), (1000, 0), (1000, 1000)])
-def test_keyword_takes_wildcards_literally_and_newest_first(vectors, rows_per_task, max_shipped):
+def test_keyword_takes_wildcards_literally_and_newest_first(vectors):
     q, m, queries, memory = vectors
-    got = {(r.query_id, r.id, r["rank"]) for r in S.keyword_search(q, m, 3, rows_per_task=rows_per_task, max_shipped=max_shipped).collect()}
+    got = {(r.query_id, r.id, r["rank"]) for r in S.keyword_search(q, m, 3).collect()}
     want = set()
     for qid, p, _, _ in queries:
         ids = sorted((i for i, r, _, t, _ in memory if r == p and "été 50%_" in t.lower()), reverse=True)[:3]
@@ -85,6 +85,28 @@ def test_keyword_takes_wildcards_literally_and_newest_first(vectors, rows_per_ta
     assert got == want
 
 
+@pytest.mark.parametrize("per_task, sent", [(20_000, 1 << 18), (3, 1 << 18), (3, 0)])
+def test_substrings_equal_brute_force(spark, monkeypatch, per_task, sent):
+    monkeypatch.setattr(substring, "MAX_SENT_PIECES", sent)
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcé 😀.%_\\n"))
+    rows = [(i, f"p{i % 3 // 2}", None if i == 5 else "".join(rng.choice(letters, rng.integers(0, 14)))) for i in range(200)]
+    rows += [(1000 + i, "p0", "common passage") for i in range(100)]  # a third of all rows hold the same pieces
+    texts = ["", "a", "é", "ab", "😀é", "abc", "a b", "%_", "common", "mon pas", "passage!", "\\", "never", None, " ", "."] + [(rows[i][2] or "")[2:7] for i in range(0, 60, 3)]
+    asked = sorted({(p, t) for t in texts for p in ("p0", "p1", "p2")}, key=str)
+    found = substring.holding(
+        spark.createDataFrame(rows, "id long, project_id string, text string"), spark.createDataFrame(asked, "project_id string, _text string"), ["project_id"], "text", per_task)
+    want = sorted((p, t, i) for p, t in asked if t is not None for i, r, x in rows if p == r and x is not None and t in x)
+    assert sorted((r["project_id"], r["_text"], r["id"]) for r in found.collect()) == want
+
+
+def test_keyword_plan_joins_no_project_with_all_its_texts(vectors):
+    q, m, _, _ = vectors
+    plan = S.keyword_search(q, m, 3)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and all("id#" in line or "_piece" in line or "_text" in line for line in joins)
+
+
 def test_hybrid_has_no_repeats_and_semantic_first(vectors):
     q, m, _, _ = vectors
     rows = S.hybrid_search(q, m, 25).collect()
