@@ -39,6 +39,20 @@ def followers(edges: DataFrame) -> DataFrame:
     return found
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], out: str) -> DataFrame:
+    """Rows of each key numbered from 1 in a total ``order``, in two levels.
+
+    Rows are sorted over range partitions and numbered inside them; what a key has in the partitions before is
+    carried on. A key that holds most of the rows is numbered by as many tasks as it has partitions.
+    """
+    placed = checkpointed(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition of the key
+    carry = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy("_part", *keys).orderBy("_id"))
+    return placed.withColumn("_row", local).join(carry, [*keys, "_part"]).withColumn(out, F.col("_before") + F.col("_row")).drop("_id", "_part", "_before", "_row")
+
+
 def take_in_turn(wishes: DataFrame) -> DataFrame:
     """Each row, in order, takes its best slot that no earlier row has taken.
 
@@ -48,6 +62,7 @@ def take_in_turn(wishes: DataFrame) -> DataFrame:
     kept applicant rules out all later ones. Returns (row, slot, seat), seats from 1.
     """
     alive = checkpointed(wishes)
+    shared = not alive.filter("capacity > 1").isEmpty()  # only stored copies have more than one seat
     while True:
         offers = alive.groupBy("row").agg(
             F.max(F.struct("score", "slot", "seq", "capacity")).alias("_best")
@@ -56,9 +71,9 @@ def take_in_turn(wishes: DataFrame) -> DataFrame:
         single = offers.filter("capacity = 1").groupBy("slot").agg(F.min(F.struct("seq", "row")).alias("_first")).select(
             "slot", F.col("_first.row").alias("row"), F.col("_first.seq").alias("seq"), F.lit(1).alias("seat"), F.lit(1).alias("capacity")
         )
-        ranked = offers.filter("capacity > 1").withColumn(
-            "seat", F.row_number().over(Window.partitionBy("slot").orderBy("seq"))
-        ).filter("seat <= capacity").select("slot", "row", "seq", "seat", F.col("capacity").cast("int").alias("capacity"))
+        several = offers.filter("capacity > 1")
+        ranked = numbered(several, ["slot"], ["seq"], "seat") if shared else several.withColumn("seat", F.lit(1))
+        ranked = ranked.filter("seat <= capacity").select("slot", "row", "seq", F.col("seat").cast("int").alias("seat"), F.col("capacity").cast("int").alias("capacity"))
         kept = checkpointed(single.unionByName(ranked))
         limits = kept.groupBy("slot").agg(
             F.max("seq").alias("_limit"), (F.count(F.lit(1)) == F.max("capacity")).alias("_full")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import memlake.operators.merge as M
 import memlake.operators.similarity as Sim
+from memlake.plans.fold import numbered
 from tests import reference_loops as loops
 
 T0 = dt.datetime(2024, 1, 1)
@@ -35,6 +36,16 @@ def small_tasks(monkeypatch):
     monkeypatch.setattr(M, "SEQ_CHUNK", 17)
 
 
+def test_numbers_of_a_key_that_holds_most_rows(spark):
+    rows = [(("hot" if i % 5 else f"k{i % 15}"), i * 7919 % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "slot string, seq long, id long").repartition(8)
+    got = {(r.slot, r.seq, r.id): r.n for r in numbered(df, ["slot"], [F.desc("seq"), F.asc("id")], "n").collect()}
+    for slot in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == slot), key=lambda r: (-r[1], r[2])), 1):
+            assert got[r] == n
+    assert len(got) == 1000
+
+
 @pytest.mark.parametrize("seed,hot,batch", [(1, 0.0, None), (2, 0.35, None), (2, 0.35, 60)])
 def test_notes_equal_row_by_row(spark, small_tasks, seed, hot, batch):
     rng = random.Random(seed)
