@@ -42,3 +42,14 @@ def join_pairs(table: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFr
         )
 
     return pairs.join(side(1), ["project_id", "id1"], "left").join(side(2), ["project_id", "id2"], "left")
+
+
+def pair_queries(queries: DataFrame, memory: DataFrame) -> DataFrame:
+    """``query_id``, ``id`` and ``project_id``: each query with every stored vector row of its project, for small query sets."""
+    return memory.select("id", "project_id").join(queries.select("query_id", "project_id"), "project_id").select("query_id", "id", "project_id")
+
+
+def queries_per_row(queries: DataFrame, memory: DataFrame) -> DataFrame:
+    """How many queries each stored row has to answer; the pairs themselves are not made."""
+    asked = queries.groupBy("project_id").agg(F.count(F.lit(1)).alias("asked"))
+    return memory.select("id", "project_id").join(asked, "project_id")

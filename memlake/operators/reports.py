@@ -45,9 +45,12 @@ def list_projects(projects: DataFrame, snapshots: DataFrame, todos: DataFrame, n
 
 def stats(
     snapshots: DataFrame, todos: DataFrame, notes: DataFrame, memory: DataFrame, errors: DataFrame,
-    instructions: DataFrame, by_project: bool = True,
+    instructions: DataFrame, by_project: bool = True, projects: DataFrame | None = None,
 ) -> DataFrame:
-    """Row counts per project, or over all projects; ``todos`` maps status to count."""
+    """Row counts per project, or over all projects; ``todos`` maps status to count.
+
+    With ``projects`` those without any row are listed too.
+    """
     plain = {
         "snapshots": snapshots, "notes": notes, "memories": memory, "error_patterns": errors,
         "instructions": instructions.filter(is_active()),
@@ -59,6 +62,8 @@ def stats(
     ]
     by_status = todos.groupBy(key, "status").agg(F.count(F.lit(1)).alias("n"))
     counted.append(by_status.select("project_id", F.concat(F.lit("todo:"), "status").alias("what"), "n"))
+    if projects is not None:
+        counted.append(projects.select(F.col("id").alias("project_id"), F.lit("project").alias("what"), F.lit(0).cast("long").alias("n")))
     long = reduce(DataFrame.unionByName, counted)
     status_counts = F.collect_list(
         F.when(F.col("what").startswith("todo:"), F.struct(F.substring("what", 6, 99).alias("k"), F.col("n").alias("v")))
@@ -76,11 +81,16 @@ def list_todos(todos: DataFrame, status: str = "active", tags: Sequence[str] | N
     return rows.select(*columns).orderBy("project_id", *by_priority())
 
 
-def todo_board(todos: DataFrame, status: str = "active", tags: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cards in board order, size of each of the four lists and their total per project)."""
+def todo_board(
+    todos: DataFrame, status: str = "active", tags: Sequence[str] | None = None, projects: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(cards in board order, size of each of the four lists and their total per project, also of ``projects`` without tasks)."""
     cards = list_todos(todos, status, tags)
     listed = F.explode(F.array(*[F.lit(s) for s in TODO_STATUSES])).alias("status")
-    lists = todos.select("project_id").distinct().select("project_id", listed)
+    known = todos.select("project_id")
+    if projects is not None:
+        known = known.unionByName(projects.select(F.col("id").alias("project_id")))
+    lists = known.distinct().select("project_id", listed)
     sizes = cards.groupBy("project_id", "status").agg(F.count(F.lit(1)).alias("size"))
     totals = cards.groupBy("project_id").agg(F.count(F.lit(1)).alias("total"))
     filled = lists.join(sizes, ["project_id", "status"], "left").join(totals, "project_id", "left")
@@ -173,7 +183,7 @@ def diff_consecutive(snapshots: DataFrame, grain: str = "hour") -> DataFrame:
 
 _LONG = {
     "rank": "int", "id": None, "kind": "string", "text": "string", "detail": "string", "priority": "int",
-    "n": "bigint", "at": "timestamp_ntz",
+    "n": "bigint", "at": "timestamp_ntz", "tags": "array<string>", "assumptions": "array<string>", "constraints": "array<string>",
 }
 
 
@@ -200,22 +210,28 @@ def _union(*branches: DataFrame) -> DataFrame:
 def _open_todos(todos: DataFrame) -> DataFrame:
     return _section(
         todos.filter(is_open()), "active_todos", kind="status", text="title", detail="blocked_reason",
-        priority="priority", at="created_at",
+        priority="priority", at="created_at", tags="tags",
     )
 
 
-def _counted(section: DataFrame, name: str) -> DataFrame:
-    return section.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).select(
-        "project_id", F.lit(name).alias("section"), *[F.lit(None).cast(k or section.schema["id"].dataType).alias(f) if f != "n" else F.col("n") for f, k in _LONG.items()]
-    )
+def _counted(section: DataFrame, name: str, projects: DataFrame | None) -> DataFrame:
+    counts = section.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    if projects is not None:
+        counts = projects.select(F.col("id").alias("project_id")).join(counts, "project_id", "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    return counts.select("project_id", F.lit(name).alias("section"), *[
+        F.lit(None).cast(k or section.schema["id"].dataType).alias(f) if f != "n" else F.col("n") for f, k in _LONG.items()])
 
 
-def summarize(snapshots: DataFrame, todos: DataFrame, notes: DataFrame, depth: int = 3) -> DataFrame:
-    """Latest snapshots, open tasks and five newest notes, with the sizes of the two first lists."""
-    latest = _section(newest(snapshots, depth), "latest_snapshots", kind="module_focus", text="summary", detail="architecture_notes", at="created_at")
+def summarize(snapshots: DataFrame, todos: DataFrame, notes: DataFrame, depth: int = 3, projects: DataFrame | None = None) -> DataFrame:
+    """Latest snapshots, open tasks and five newest notes, with the sizes of the two first lists.
+
+    With ``projects`` every one of them has its sizes, zero where it has no rows.
+    """
+    latest = _section(newest(snapshots, depth), "latest_snapshots", kind="module_focus", text="summary", detail="architecture_notes",
+                      at="created_at", tags="tags", assumptions="assumptions", constraints="constraints")
     tasks = _open_todos(todos)
-    recent = _section(newest(notes, 5), "recent_notes", kind="category", text="content", at="created_at")
-    return _union(latest, tasks, recent, _counted(latest, "snapshot_count"), _counted(tasks, "active_todo_count"))
+    recent = _section(newest(notes, 5), "recent_notes", kind="category", text="content", at="created_at", tags="tags")
+    return _union(latest, tasks, recent, _counted(latest, "snapshot_count", projects), _counted(tasks, "active_todo_count", projects))
 
 
 def session_sync(
@@ -226,9 +242,9 @@ def session_sync(
     return _union(
         _section(newest(snapshots, 1), "snapshot", kind="module_focus", text="summary", at="created_at"),
         _open_todos(todos),
-        _section(newest(notes, 10), "recent_notes", kind="category", text=preview("content", 150), at="created_at"),
-        _section(newest(memory.select("project_id", "id", "content_type", "content_text", "created_at"), 10),
-                 "recent_memories", kind="content_type", text=preview("content_text", 100), at="created_at"),
+        _section(newest(notes, 10), "recent_notes", kind="category", text=preview("content", 150), at="created_at", tags="tags"),
+        _section(newest(memory.select("project_id", "id", "content_type", "content_text", "tags", "created_at"), 10),
+                 "recent_memories", kind="content_type", text=preview("content_text", 100), at="created_at", tags="tags"),
         _section(instructions.filter(is_active()), "instructions", kind="category", text="content", priority="priority", at="created_at"),
         _section(newest(errors, 5, "last_seen_at"), "recent_error_patterns", kind="error_type", text="error_message",
                  detail="resolution", n="occurrence_count", at="last_seen_at"),
@@ -248,9 +264,9 @@ def recent_changes(
         return shaped.withColumn("_in", newer_than("at", as_of, whole_hours))
 
     lists = _union(
-        branch(snapshots, "snapshots", "created_at", kind="module_focus", text="summary"),
-        branch(notes, "notes", "created_at", kind="category", text="content"),
-        branch(todos, "new_todos", "created_at", kind="status", text="title", priority="priority"),
+        branch(snapshots, "snapshots", "created_at", kind="module_focus", text="summary", tags="tags"),
+        branch(notes, "notes", "created_at", kind="category", text="content", tags="tags"),
+        branch(todos, "new_todos", "created_at", kind="status", text="title", priority="priority", tags="tags"),
         branch(todos.filter(is_completed()), "completed", "completed_at", text="title"),
     )
     flags = lists.groupBy("project_id").agg(F.bool_or("_in").alias("_any"))
@@ -307,9 +323,9 @@ def file_context(
         return _section(joined.withColumn("project_id", held), name, at=time, **columns)
 
     lists = _union(
-        branch(notes, "related_files", "notes", 10, "created_at", kind="category", text="content"),
+        branch(notes, "related_files", "notes", 10, "created_at", kind="category", text="content", tags="tags"),
         branch(todos.filter(is_open()), "related_files", "active_todos", None, None, kind="status", text="title",
-               detail="description", priority="priority"),
+               detail="description", priority="priority", tags="tags"),
         branch(errors, "file_paths", "error_patterns", 5, "last_seen_at", kind="error_type", text="error_message",
                detail="resolution", n="occurrence_count"),
         branch(snapshots, "file_paths", "recent_snapshots", 3, "created_at", kind="module_focus", text="summary"),

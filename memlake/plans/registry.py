@@ -365,22 +365,19 @@ def exact_match_fallback(t):
 
 @_query
 def merge_notes(t):
-    incoming = t.notes.withColumns({"seq": F.col("id"), "id": F.col("id") + 1_000_000_000})
-    out = M.merge_notes(_known(t.notes), incoming)
+    out = M.merge_notes(_known(t.notes), t.arriving_notes)
     return out.select("id", "project_id", "category", "content", _list("tags"), "created_at")
 
 
 @_query
 def merge_errors(t):
-    incoming = t.error_log.withColumns({"seq": F.col("id"), "id": F.col("id") + 1_000_000_000})
-    out = M.merge_errors(t.error_patterns, incoming)
+    out = M.merge_errors(t.error_patterns, t.arriving_errors)
     return out.select("id", "project_id", "error_message", _list("attempted_fixes"), "resolution", "occurrence_count", "last_seen_at")
 
 
 @_query
 def insert_instructions_if_new(t):
-    incoming = t.instructions.withColumns({"seq": F.col("id"), "id": F.col("id") + 1_000_000_000})
-    return M.insert_instructions_if_new(_known(t.instructions), incoming).select("id", "project_id", "content")
+    return M.insert_instructions_if_new(_known(t.instructions), t.arriving_instructions).select("id", "project_id", "content")
 
 
 @_query
@@ -480,6 +477,14 @@ def search(t):
     return _hits(S.search(t.search_queries, t.memory, "keyword", tags=["t1", "t2"]))
 
 
+@_query
+def search_modes(t):
+    """The dispatching search in its semantic and hybrid modes, by tags and by type."""
+    semantic = _hits(S.search(t.search_queries, t.memory, "semantic", k=3, tags=["t3", "t5"]))
+    hybrid = _hits(S.search(t.search_queries, t.memory, "hybrid", k=4, content_type="note", tags=["t1", "t2"]))
+    return semantic.withColumn("mode", F.lit("semantic")).unionByName(hybrid.withColumn("mode", F.lit("hybrid")))
+
+
 @_query
 def match_errors(t):
     return S.match_errors(t.error_queries, t.error_patterns, t.memory).withColumn("match_score", _score("match_score"))
@@ -507,8 +512,7 @@ def resolve_sources(t):
 
 @_query
 def pair_queries(t):
-    asked = t.search_queries.groupBy("project_id").agg(F.count(F.lit(1)).alias("asked"))
-    return t.memory.join(asked, "project_id").select("id", "project_id", "asked")
+    return J.queries_per_row(t.search_queries, t.memory).select("id", "project_id", "asked")
 
 
 @_query
@@ -548,6 +552,10 @@ def list_projects(t):
     return R.list_projects(t.projects, t.snapshots, t.todos, t.notes)
 
 
+def _flat(report):
+    return report.withColumns({c: _list(c) for c in ("tags", "assumptions", "constraints")})
+
+
 def _flat_stats(df):
     pairs = F.transform(F.map_entries("todos"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return df.withColumn("todos", F.array_join(pairs, "|"))
@@ -555,7 +563,7 @@ def _flat_stats(df):
 
 @_query
 def stats(t):
-    return _flat_stats(R.stats(t.snapshots, t.todos, t.notes, t.memory, t.error_patterns, t.instructions))
+    return _flat_stats(R.stats(t.snapshots, t.todos, t.notes, t.memory, t.error_patterns, t.instructions, projects=t.projects))
 
 
 @_query
@@ -575,7 +583,7 @@ def list_todos_tagged(t):
 
 @_query
 def todo_board(t):
-    cards, sizes = R.todo_board(t.todos, "all")
+    cards, sizes = R.todo_board(t.todos, "all", projects=t.projects)
     return sizes.select("project_id", "status", "size", "total", F.lit(None).cast("bigint").alias("id")).unionByName(
         cards.select("project_id", "status", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("total"), "id")
     )
@@ -630,22 +638,22 @@ def diff_consecutive_snapshots(t):
 
 @_query
 def summarize_project(t):
-    return R.summarize(t.snapshots, t.todos, t.notes)
+    return _flat(R.summarize(t.snapshots, t.todos, t.notes, projects=t.projects))
 
 
 @_query
 def session_sync(t):
-    return R.session_sync(t.snapshots, t.todos, t.notes, t.memory, t.instructions, t.error_patterns)
+    return _flat(R.session_sync(t.snapshots, t.todos, t.notes, t.memory, t.instructions, t.error_patterns))
 
 
 @_query
 def recent_changes(t):
-    return R.recent_changes(t.projects, t.snapshots, t.todos, t.notes, P.timestamp("2024-01-30 12:00:00"), 24)
+    return _flat(R.recent_changes(t.projects, t.snapshots, t.todos, t.notes, P.timestamp("2024-01-30 12:00:00"), 24))
 
 
 @_query
 def recent_changes_quiet(t):
-    return R.recent_changes(t.projects, t.snapshots, t.todos, t.notes, as_of(), 24)
+    return _flat(R.recent_changes(t.projects, t.snapshots, t.todos, t.notes, as_of(), 24))
 
 
 @_query
@@ -656,7 +664,7 @@ def recent_changes_narrative(t):
 
 @_query
 def file_context(t):
-    return R.file_context(_paths(t), t.notes, t.todos, t.error_patterns, t.snapshots)
+    return _flat(R.file_context(_paths(t), t.notes, t.todos, t.error_patterns, t.snapshots))
 
 
 @_query
@@ -825,6 +833,8 @@ def stream_embed(t):
 @_query
 def stream_match_errors(t):
     folder = _folder(t)
-    stream = _error_stream(t).selectExpr("id as query_id", "project_id", "error_message as query_text", "cast(null as array<float>) as query_vec")
-    _run(sinks.match_error_stream(stream, t.error_patterns, None, folder, f"{folder}/cp"))
+    vectors = t._spark.read.parquet(f"{t._dir}/embeddings.parquet")
+    stream = _error_stream(t).join(vectors, F.col("id") == F.col("vec_id"), "left").selectExpr(
+        "id as query_id", "project_id", "error_message as query_text", "embedding as query_vec")
+    _run(sinks.match_error_stream(stream, lambda: t.error_patterns, lambda: t.memory, folder, f"{folder}/cp"))
     return t._spark.read.parquet(f"{folder}/error_matches").select("query_id", "rank", "id", _score("match_score"), "match_type")

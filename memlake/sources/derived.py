@@ -1,8 +1,8 @@
 """Memory tables derived from the generic test parquet files.
 
 One SQL text per table, rendered for Spark or for an outside SQL engine used as
-a check. All tables but ``project_brief`` (four documents of each source) are whole:
-every source row ends up in them.
+a check. All tables are made of every row of their source; those named ``arriving_`` are rows that come in
+beside what is stored: a half as they are, a fourth a little longer, a fourth with other texts.
 """
 
 from __future__ import annotations
@@ -48,19 +48,19 @@ _SQL: dict[str, str] = {
     "projects": """
         select source as id, concat('Project ', source) as name, concat('/work/', source) as path,
                @T0() as created_at, @T0() + @DAYS(count(*) % 28) as last_accessed_at
-        from documents group by source""",
+        from documents group by source
+        union all
+        select concat(max(source), '/empty') as id, 'Empty' as name, '/work' as path, @T0() as created_at, @T0() as last_accessed_at
+        from documents""",
     "project_brief": """
-        select project_id, concat('Project ', project_id) as project_name,
-               max(case when rn = 1 then text end) as tech_stack,
-               max(case when rn = 2 then text end) as module_map,
-               max(case when rn = 3 then text end) as conventions,
-               max(case when rn = 4 and n_chars > 1500 then text end) as critical_constraints,
+        select source as project_id, concat('Project ', source) as project_name,
+               max(case when doc_id % 4 = 0 then text end) as tech_stack,
+               max(case when doc_id % 4 = 1 then text end) as module_map,
+               max(case when doc_id % 4 = 2 then text end) as conventions,
+               max(case when doc_id % 4 = 3 and n_chars > 1500 then text end) as critical_constraints,
                cast(null as varchar(9)) as entry_points,
-               @T0() + @DAYS(max(rn)) as updated_at
-        from (select source as project_id, text, n_chars,
-                     row_number() over (partition by source order by doc_id) as rn
-              from documents) d
-        where rn <= 4 group by project_id having min(n_chars) > 200""",
+               @T0() + @DAYS(count(*) % 28) as updated_at
+        from documents group by source having count(*) % 5 <> 0""",
     "notes": """
         select doc_id as id, source as project_id, text as content,
                case doc_id % 5 when 0 then 'decision' when 1 then 'debug' when 2 then 'architecture'
@@ -117,6 +117,27 @@ _SQL: dict[str, str] = {
                cast(count(*) as int) as occurrence_count,
                max(seen_at) as last_seen_at, min(seen_at) as created_at
         from error_log group by project_id, error_message""",
+    "arriving_errors": """
+        select id as seq, id + 1000000000 as id, project_id,
+               case id % 4 when 1 then concat(error_message, ' again')
+                    when 2 then concat('Timeout in step ', substr(md5(@S(id % 50)), 1, 8), ' of ', substr(error_message, 1, 20))
+                    else error_message end as error_message,
+               error_type, attempted_fixes, root_cause, resolution, file_paths, tags, seen_at
+        from error_log""",
+    "arriving_notes": """
+        select id as seq, id + 1000000000 as id, project_id,
+               case id % 4 when 1 then concat(content, ' and some words more')
+                    when 2 then concat('Decided in meeting ', @S(id % 40), ': option ', @S(id % 3), ' for module ', @S(id % 6))
+                    else content end as content,
+               category, tags, related_files, snapshot_id, created_at
+        from notes""",
+    "arriving_instructions": """
+        select id as seq, id + 1000000000 as id, project_id,
+               case id % 4 when 1 then concat(content, ' as before')
+                    when 2 then concat('Always run step ', @S(id % 30), ' before commit of part ', @S(id % 4))
+                    else content end as content,
+               category, active, priority, tags, created_at
+        from instructions""",
     "snapshots": """
         select conv_id * 100 + turn as id, concat('src', @S(conv_id % 20)) as project_id,
                conv_id as session_id, text as summary,
@@ -188,7 +209,10 @@ _SQL: dict[str, str] = {
         from documents""",
 }
 
-_DEPENDS = {"error_patterns": ["error_log"], "sessions": ["snapshots"], "error_queries": ["error_log"]}
+_DEPENDS = {
+    "error_patterns": ["error_log"], "sessions": ["snapshots"], "error_queries": ["error_log"],
+    "arriving_errors": ["error_log"], "arriving_notes": ["notes"], "arriving_instructions": ["instructions"],
+}
 
 
 def _render(sql: str, dialect: str) -> str:

@@ -64,10 +64,10 @@ def embed_stream(stream: DataFrame, make_encoder: Callable[[], Encoder], root: s
 
 
 def match_error_stream(
-    stream: DataFrame, errors: DataFrame, memory: DataFrame | None, root: str, checkpoint: str, k: int = 3
+    stream: DataFrame, errors: Callable[[], DataFrame], memory: Callable[[], DataFrame] | None, root: str, checkpoint: str, k: int = 3
 ) -> DataStreamWriter:
-    """Known patterns for each arriving error (stream-static)."""
+    """Known patterns for each arriving error; what is stored is read anew for each batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        match_errors(batch, errors, memory, k).write.mode("overwrite").parquet(f"{root}/error_matches/batch={batch_id}")
+        match_errors(batch, errors(), memory() if memory else None, k).write.mode("overwrite").parquet(f"{root}/error_matches/batch={batch_id}")
 
     return _sink(stream, checkpoint, handle)

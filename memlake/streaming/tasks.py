@@ -35,7 +35,7 @@ class TaskLife(StatefulProcessor):
                 target, done = None, None
             elif change.op == "complete":
                 target, done = "done", change.changed_at
-            elif "status" in list(change.set_fields):
+            elif change.set_fields is not None and "status" in list(change.set_fields):
                 target, done = change.status, completed
             else:
                 continue

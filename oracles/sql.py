@@ -291,6 +291,73 @@ _add("error_frequency", "error_log", """
            array_to_string(list_sort(list_distinct(flatten(list(attempted_fixes)))), '|') as fixes
     from error_log group by project_id, error_message""")
 
+def _new_ones(stored: str, incoming: str, text: str, threshold: float) -> str:
+    """Rows handled one by one in ``seq`` order: ``led`` holds the ids stored as new; ``known`` and ``near`` what each row is like."""
+    return f"""
+    kept as materialized (select id, project_id, {grams(text)} as g from {stored}),
+    coming as materialized (select id, seq, project_id, {grams(text)} as g from {incoming}),
+    known as materialized (select c.id, k.id as target, {sim('c.g', 'k.g')} as s from coming c join kept k using (project_id) where s > {threshold}),
+    near as materialized (select c.id, e.id as target, {sim('c.g', 'e.g')} as s from coming c join coming e on e.project_id = c.project_id and e.seq < c.seq where s > {threshold}),
+    open as materialized (select id, row_number() over (order by seq) as n, coalesce((select list(target) from near where near.id = c.id), []::bigint[]) as others
+             from coming c where id not in (select id from known)),
+    walk as (select 0::bigint as n, []::bigint[] as led union all
+             select w.n + 1, case when list_has_any(o.others, w.led) then w.led else list_append(w.led, o.id) end from walk w join open o on o.n = w.n + 1),
+    led as (select unnest(arg_max(led, n)) as id from walk),
+    target as (select id, arg_min(target, struct_pack(a := -s, b := target)) as target from (
+        select * from known union all select * from near where target in (select id from led)) where id not in (select id from led) group by id)"""
+
+
+_add("insert_instructions_if_new", "instructions arriving_instructions", "select id, project_id, content from arriving_instructions where id in (select id from led)",
+     _new_ones(f"(select * from instructions where active and {_HALF})", "arriving_instructions", "content", 0.8))
+
+
+def _merged_errors(stored: str, incoming: str) -> str:
+    return _new_ones(stored, incoming, "error_message", 0.7) + f""",
+    base as (select id, project_id, error_message, attempted_fixes, resolution, occurrence_count, last_seen_at from {stored} union all
+             select id, project_id, error_message, coalesce(attempted_fixes, []), nullif(resolution, ''), 1, seen_at from {incoming} where id in (select id from led)),
+    again as (select t.target as id, i.seq, i.seen_at, nullif(i.resolution, '') as resolution, coalesce(i.attempted_fixes, []) as fixes from target t join {incoming} i using (id)),
+    tried as (select id, fix, min(struct_pack(a := seq, b := pos)) as spot from (
+        select id, -1 as seq, unnest(attempted_fixes) as fix, unnest(range(len(attempted_fixes))) as pos from base where id in (select id from again)
+        union all select id, seq, unnest(fixes), unnest(range(len(fixes))) from again) group by id, fix),
+    merged as (select b.id, project_id, error_message,
+        case when a.n is null then array_to_string(attempted_fixes, '|') else (select coalesce(string_agg(fix, '|' order by spot), '') from tried x where x.id = b.id) end as attempted_fixes,
+        coalesce(a.resolution, b.resolution) as resolution, cast(occurrence_count + coalesce(a.n, 0) as int) as occurrence_count, coalesce(a.seen, last_seen_at) as last_seen_at
+        from base b left join (select id, count(*) as n, arg_max(seen_at, seq) as seen, arg_max(resolution, seq) filter (resolution is not null) as resolution from again group by id) a using (id))"""
+
+
+_add("merge_errors", "error_patterns arriving_errors", "select * from merged", _merged_errors("error_patterns", "arriving_errors"))
+_add("stream_merge_errors", "error_log", "select id, project_id, error_message, occurrence_count, last_seen_at from merged", """
+    stream as (select event_id as id, event_id as seq, 'src' || user_id % 20 as project_id, ['fix' || event_id % 4] as attempted_fixes, null::varchar as resolution, ts as seen_at,
+                      'Failure ' || substr(md5((event_id % 40)::varchar), 1, 8) || ' ' || substr(md5((user_id % 30)::varchar), 1, 8) as error_message
+               from events where event_type = 'error'),
+    nothing as (select id, project_id, error_message, attempted_fixes, resolution, 1 as occurrence_count, seen_at as last_seen_at from stream where false), """ + _merged_errors("nothing", "stream"))
+
+
+def _merged_notes(stored: str, incoming: str) -> str:
+    """Notes handled one by one: a row takes over the most similar text that stands then, the most recently written of equal ones."""
+    return f"""
+    kept as materialized (select 'n' || id as key, id, project_id, category, content, tags, created_at, {grams('content')} as g from {stored}),
+    coming as materialized (select 'r' || id as key, id, seq, project_id, coalesce(nullif(category, ''), 'general') as category, content, coalesce(tags, []) as tags, created_at, {grams('content')} as g from {incoming}),
+    close as materialized (
+        select c.seq, k.key, {sim('c.g', 'k.g')} as s, -1::bigint as put, k.created_at as written, k.id from coming c join kept k using (project_id, category) where s > 0.8
+        union all
+        select c.seq, e.key, {sim('c.g', 'e.g')} as s, e.seq, null, e.id from coming c join coming e on e.project_id = c.project_id and e.category = c.category and e.seq < c.seq where s > 0.8),
+    turn as materialized (select key, row_number() over (order by seq) as n, coalesce((select list(x.key order by s desc, put desc, written desc, x.id) from close x where x.seq = c.seq), []::varchar[]) as choice from coming c),
+    walk as (select 0::bigint as n, []::varchar[] as taken, null::varchar as key, null::varchar as took union all
+             select n, case when took is null then taken else list_append(taken, took) end, key, took from (
+                select t.n, w.taken, t.key, list_filter(t.choice, lambda x: not list_contains(w.taken, x))[1] as took from walk w join turn t on t.n = w.n + 1)),
+    chain as (select key, coalesce(case when took like 'n%' then took end, case when took is null then key end) as head, took from walk where key is not null),
+    owner as (select key, head from chain where head is not null union all select c.key, o.head from chain c join owner o on c.head is null and c.took = o.key),
+    last as (select o.head, arg_max(c.content, seq) as content, arg_max(c.tags, seq) as tags, arg_max(c.created_at, seq) as created_at
+             from owner o join coming c using (key) group by o.head having count(*) filter (o.key <> o.head) > 0),
+    merged as (select b.id, project_id, category, coalesce(l.content, b.content) as content, coalesce(l.tags, b.tags) as tags, coalesce(l.created_at, b.created_at) as created_at
+        from (select key, id, project_id, category, content, tags, created_at from kept union all
+              select key, id, project_id, category, content, tags, created_at from coming where key in (select head from chain)) b left join last l on l.head = b.key)"""
+
+
+_add("merge_notes", "notes arriving_notes", f"select id, project_id, category, content, {joined('tags')}, created_at from merged",
+     _merged_notes(f"(select * from notes where {_HALF})", "arriving_notes"))
+
 # --- embedding and search
 _add("embed_column", "notes", r"""
     select id, 64::int as dims, case when regexp_matches(content, '\S') then 1.0 else 0.0 end::double as norm from notes""")
@@ -345,26 +412,37 @@ _add("semantic_topk_filtered", _Q, _SELECT.format("semantic", "semantic"),
      _semantic(3, "content_type = 'note' and list_has_any(tags, ['t1', 't2', 't3'])"))
 _add("keyword_search", _Q, _SELECT.format("keyword", "keyword").replace("round(sim, 6)", "sim::double"), _keyword(5, "true"))
 _add("search", _Q, _SELECT.format("keyword", "keyword").replace("round(sim, 6)", "sim::double"), _keyword(5, "list_has_any(tags, ['t1', 't2'])"))
+_tagged = "content_type = 'note' and list_has_any(tags, ['t1', 't2'])"
+_add("search_modes", _Q, """
+    select query_id, rank, id, content_type, 'semantic' as search_mode, round(sim, 6) as similarity, 'semantic' as mode from other
+    union all select query_id, rank, id, content_type, search_mode, round(sim, 6), 'hybrid' from hybrid where rank <= 4""",
+     f"""{_semantic(3, "list_has_any(tags, ['t3', 't5'])", "other")}, {_semantic(4, _tagged)}, {_keyword(4, _tagged)}, {_HYBRID}""")
 _add("degrade_without_vectors", _Q, "select query_id, rank, id, 'keyword' as search_mode from keyword", _keyword(5, "true"))
 _HITS = "select query_id, rank, id, content_type, search_mode, round(sim, 6) as similarity from hybrid where rank <= 5"
 _add("hybrid_search", _Q, _HITS, f"{_semantic(5, 'true')}, {_keyword(5, 'true')}, {_HYBRID}")
 _note = "content_type = 'note'"
 _add("hybrid_search_filtered", _Q, _HITS, f"{_semantic(5, _note)}, {_keyword(5, _note)}, {_HYBRID}")
-_add("match_errors", "memory error_queries error_patterns", """
+_MATCHED = """
     select query_id, id, cast(rank as int) as rank, round(score, 6) as match_score, match_type from (
         select query_id, id, score, match_type, row_number() over (partition by query_id order by place) as rank from (
             select query_id, id, s as score, 'text' as match_type, r as place from texts
             union all
             select f.query_id, f.source_id, min(f.sim), 'semantic', min(f.rank) + 3 from semantic f
             where f.query_id not in (select query_id from texts where r = 3) and (f.query_id, f.source_id) not in (select query_id, id from texts)
-              and f.source_id in (select id from error_patterns) group by f.query_id, f.source_id)) where rank <= 3""",
-     f"""
-    qs as (select project_id, g, list(query_id) as ids from (select query_id, project_id, {grams('query_text')} as g from error_queries) group by project_id, g),
+              and f.source_id in (select id from error_patterns) group by f.query_id, f.source_id)) where rank <= 3"""
+
+
+def _texts(queries: str) -> str:
+    return f"""
+    qs as (select project_id, g, list(query_id) as ids from (select query_id, project_id, {grams('query_text')} as g from {queries}) group by project_id, g),
     ps as (select id, project_id, {grams('error_message')} as g from error_patterns),
     scored as (select qs.ids, ps.id, {sim('qs.g', 'ps.g')} as s from qs join ps using (project_id)),
     texts as (select unnest(ids) as query_id, id, s, r from (
         select *, row_number() over (partition by ids order by s desc, id) as r from scored where s > 0.3) where r <= 3),
-    {_semantic(3, "content_type = 'error'", queries="error_queries")}""")
+    {_semantic(3, "content_type = 'error'", queries=queries)}"""
+
+
+_add("match_errors", "memory error_queries error_patterns", _MATCHED, _texts("error_queries"))
 _add("match_errors_keyword", "error_queries error_patterns", """
     select query_id, id, cast(rank as int) as rank, 0.0::double as match_score, 'keyword' as match_type from (
         select q.query_id, p.id, row_number() over (partition by q.query_id order by p.last_seen_at desc, p.id) as rank
@@ -408,16 +486,16 @@ def _stats(key: str) -> str:
         select status, count(*) as n from todos x where {key} = p.project_id group by status)) as todos from"""
 
 
-_add("stats", _ALL, _stats("x.project_id") + """ (select project_id from snapshots union select project_id from notes union select project_id from memory
+_add("stats", _ALL + " projects", _stats("x.project_id") + """ (select id as project_id from projects union select project_id from snapshots union select project_id from notes union select project_id from memory
     union select project_id from error_patterns union select project_id from instructions where active union select project_id from todos) p""")
 _add("stats_global", _ALL, _stats("'all'") + " (select 'all' as project_id) p")
 _TODO = f"project_id, id, title, status, priority, {_TAGS}, blocked_reason, created_at, updated_at"
 _add("list_todos", "todos", f"select {_TODO} from todos where status <> 'done'")
 _add("list_todos_tagged", "todos", f"select {_TODO} from todos where list_has_any(tags, ['t2', 't6'])")
-_add("todo_board", "todos", """
+_add("todo_board", "todos projects", """
     select p.project_id, s.status, (select count(*) from todos t where t.project_id = p.project_id and t.status = s.status) as size,
            (select count(*) from todos t where t.project_id = p.project_id) as total, null::bigint as id
-    from (select distinct project_id from todos) p, (select unnest(['todo', 'in_progress', 'blocked', 'done']) as status) s
+    from (select project_id from todos union select id from projects) p, (select unnest(['todo', 'in_progress', 'blocked', 'done']) as status) s
     union all select project_id, status, null, null, id from todos""")
 _add("list_notes", "notes", f"select project_id, rank, id, category, content from {newest('notes', 20)}")
 _add("list_notes_category", "notes", f"""select project_id, rank, id, category, content from {newest('notes', 5, where="category = 'decision'")}""")
@@ -455,27 +533,31 @@ _add("diff_consecutive_snapshots", "snapshots", f"""
 
 
 def _row(section: str, source: str, where: str = "true", rank: str = "null", id: str = "id", kind: str = "null", text: str = "null",
-         detail: str = "null", priority: str = "null", n: str = "null", at: str = "null", key: str = "project_id") -> str:
+         detail: str = "null", priority: str = "null", n: str = "null", at: str = "null", key: str = "project_id",
+         tags: str = "null", assumptions: str = "null", constraints: str = "null") -> str:
+    lists = ", ".join(f"array_to_string(cast({v} as varchar[]), '|') as {c}" for c, v in (("tags", tags), ("assumptions", assumptions), ("constraints", constraints)))
     return (
         f"select {key}, '{section}' as section, cast({rank} as int) as rank, cast({id} as bigint) as id, cast({kind} as varchar) as kind, "
         f"cast({text} as varchar) as text, cast({detail} as varchar) as detail, cast({priority} as int) as priority, cast({n} as bigint) as n, "
-        f"cast({at} as timestamp) as at from {source} where {where}"
+        f"cast({at} as timestamp) as at, {lists} from {source} where {where}"
     )
 
 
-_open = _row("active_todos", "todos", "status <> 'done'", kind="status", text="title", detail="blocked_reason", priority="priority", at="created_at")
-_add("summarize_project", "snapshots todos notes", " union all ".join([
-    _row("latest_snapshots", newest("snapshots", 3), rank="rank", kind="module_focus", text="summary", detail="architecture_notes", at="created_at"),
+_open = _row("active_todos", "todos", "status <> 'done'", kind="status", text="title", detail="blocked_reason", priority="priority", at="created_at", tags="tags")
+_COUNTED = "(select p.project_id, least((select count(*) from {0} x where x.project_id = p.project_id and {1}), {2}) as c from (select id as project_id from projects union select project_id from {0} where {1}) p)"
+_add("summarize_project", "projects snapshots todos notes", " union all ".join([
+    _row("latest_snapshots", newest("snapshots", 3), rank="rank", kind="module_focus", text="summary", detail="architecture_notes", at="created_at",
+         tags="tags", assumptions="assumptions", constraints="constraints"),
     _open,
-    _row("recent_notes", newest("notes", 5), rank="rank", kind="category", text="content", at="created_at"),
-    _row("snapshot_count", "(select project_id, least(count(*), 3) as c from snapshots group by project_id)", id="null", n="c"),
-    _row("active_todo_count", "(select project_id, count(*) as c from todos where status <> 'done' group by project_id)", id="null", n="c"),
+    _row("recent_notes", newest("notes", 5), rank="rank", kind="category", text="content", at="created_at", tags="tags"),
+    _row("snapshot_count", _COUNTED.format("snapshots", "true", 3), id="null", n="c"),
+    _row("active_todo_count", _COUNTED.format("todos", "status <> 'done'", 10**18), id="null", n="c"),
 ]))
 _add("session_sync", "snapshots todos notes memory instructions error_patterns", " union all ".join([
     _row("snapshot", newest("snapshots", 1), rank="rank", kind="module_focus", text="summary", at="created_at"),
     _open,
-    _row("recent_notes", newest("notes", 10), rank="rank", kind="category", text="substr(content, 1, 150)", at="created_at"),
-    _row("recent_memories", newest("memory", 10), rank="rank", kind="content_type", text="substr(content_text, 1, 100)", at="created_at"),
+    _row("recent_notes", newest("notes", 10), rank="rank", kind="category", text="substr(content, 1, 150)", at="created_at", tags="tags"),
+    _row("recent_memories", newest("memory", 10), rank="rank", kind="content_type", text="substr(content_text, 1, 100)", at="created_at", tags="tags"),
     _row("instructions", "instructions", "active", kind="category", text="content", priority="priority", at="created_at"),
     _row("recent_error_patterns", newest("error_patterns", 5, "last_seen_at"), rank="rank", kind="error_type", text="error_message",
          detail="resolution", n="occurrence_count", at="last_seen_at"),
@@ -484,9 +566,9 @@ _add("session_sync", "snapshots todos notes memory instructions error_patterns",
 
 def _recent(now: str) -> str:
     branches = {
-        "snapshots": ("snapshots", "created_at", "true", dict(kind="module_focus", text="summary")),
-        "notes": ("notes", "created_at", "true", dict(kind="category", text="content")),
-        "new_todos": ("todos", "created_at", "true", dict(kind="status", text="title", priority="priority")),
+        "snapshots": ("snapshots", "created_at", "true", dict(kind="module_focus", text="summary", tags="tags")),
+        "notes": ("notes", "created_at", "true", dict(kind="category", text="content", tags="tags")),
+        "new_todos": ("todos", "created_at", "true", dict(kind="status", text="title", priority="priority", tags="tags")),
         "completed": ("todos", "completed_at", "completed_at is not null", dict(text="title")),
     }
     window = " union all ".join(
@@ -530,8 +612,8 @@ _K = "project_id, path"
 _add("file_context", "notes todos error_patterns snapshots", f"""
     select p.project_id, p.path, c.* exclude (project_id, path), c.section is not null as has_context from paths p left join ("""
      + " union all ".join([
-         _row("notes", _files("notes", "related_files", 10, "created_at"), rank="rank", kind="category", text="content", at="created_at", key=_K),
-         _row("active_todos", _files("todos", "related_files", None, "", "status <> 'done'"), kind="status", text="title", detail="description", priority="priority", key=_K),
+         _row("notes", _files("notes", "related_files", 10, "created_at"), rank="rank", kind="category", text="content", at="created_at", key=_K, tags="tags"),
+         _row("active_todos", _files("todos", "related_files", None, "", "status <> 'done'"), kind="status", text="title", detail="description", priority="priority", key=_K, tags="tags"),
          _row("error_patterns", _files("error_patterns", "file_paths", 5, "last_seen_at"), rank="rank", kind="error_type", text="error_message",
               detail="resolution", n="occurrence_count", at="last_seen_at", key=_K),
          _row("recent_snapshots", _files("snapshots", "file_paths", 3, "created_at"), rank="rank", kind="module_focus", text="summary", at="created_at", key=_K),
@@ -619,13 +701,7 @@ _add("stream_task_state", "todo_changes", """
                             from todo_changes)
                       where op = 'insert' or (alive and (op <> 'update' or list_contains(set_fields, 'status')))))
           window w as (partition by id order by changed_at, change_id))""")
-_add("stream_match_errors", "error_patterns", """
-    select query_id, id, cast(r as int) as rank, round(s, 6) as match_score, 'text' as match_type from texts""", f"""
-    asked as (select event_id as query_id, 'src' || user_id % 20 as project_id,
-                     'Failure ' || substr(md5((event_id % 40)::varchar), 1, 8) || ' ' || substr(md5((user_id % 30)::varchar), 1, 8) as t
-              from events where event_type = 'error'),
-    qs as (select project_id, g, list(query_id) as ids from (select query_id, project_id, {grams('t')} as g from asked) group by project_id, g),
-    ps as (select id, project_id, {grams('error_message')} as g from error_patterns),
-    texts as (select unnest(ids) as query_id, id, s, r from (
-        select *, row_number() over (partition by ids order by s desc, id) as r from (
-            select qs.ids, ps.id, {sim('qs.g', 'ps.g')} as s from qs join ps using (project_id)) where s > 0.3) where r <= 3)""")
+_add("stream_match_errors", "memory error_patterns", _MATCHED, f"""
+    asked as (select event_id as query_id, 'src' || user_id % 20 as project_id, embedding as query_vec,
+                     'Failure ' || substr(md5((event_id % 40)::varchar), 1, 8) || ' ' || substr(md5((user_id % 30)::varchar), 1, 8) as query_text
+              from events left join embeddings on vec_id = event_id where event_type = 'error'), {_texts("asked")}""")
