@@ -674,7 +674,7 @@ def file_hotspots(t):
 
 @_query
 def project_index(t):
-    return R.project_index(t.projects, t.project_brief, t.snapshots, t.todos, t.notes, t.error_patterns, t.instructions)
+    return _flat(R.project_index(t.projects, t.project_brief, t.snapshots, t.todos, t.notes, t.error_patterns, t.instructions))
 
 
 @_query

@@ -358,6 +358,18 @@ def _merged_notes(stored: str, incoming: str) -> str:
 _add("merge_notes", "notes arriving_notes", f"select id, project_id, category, content, {joined('tags')}, created_at from merged",
      _merged_notes(f"(select * from notes where {_HALF})", "arriving_notes"))
 
+_add("import_documents", "notes project_brief md_docs", f"""
+    select 'note' as kind, project_id, content as text from merged
+    union all
+    select 'brief', project_id, project_name from (select * from briefs join md_docs using (doc_id) qualify row_number() over (partition by project_id order by doc_id desc) = 1)
+    union all
+    select 'brief', project_id, project_name from project_brief where project_id not in (select project_id from md_docs)
+    union all
+    select 'snapshot', project_id, 'Initial migration from CLAUDE.md. Imported ' || (select count(*) from sections s where s.doc_id = d.doc_id) || ' sections.' from md_docs d""",
+     _BRIEF + "," + _CHUNKS + f""",
+    arrived as (select doc_id * 1000000 + part + 1000000000 as id, doc_id * 1000000 + part as seq, project_id, content, 'reference' as category,
+                       string_split(tags, '|') as tags, {NOW} as created_at from chunks),""" + _merged_notes("notes", "arrived"))
+
 # --- embedding and search
 _add("embed_column", "notes", r"""
     select id, 64::int as dims, case when regexp_matches(content, '\S') then 1.0 else 0.0 end::double as norm from notes""")
