@@ -13,8 +13,8 @@ Of an id with several texts in one language, the one with the smallest hash is t
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every
 text if nothing could be learnt; with a single language known, that one is predicted with
-score 1; repeated rows are scored one by one; an empty table gives an empty result;
-further columns of the input are ignored.
+score 1; repeated rows are scored one by one; texts of any length are counted whole; of languages with equal votes and
+margins the last by name is taken; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations

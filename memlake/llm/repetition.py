@@ -11,8 +11,8 @@ Words are maximal runs of other characters than space and U+0009 to U+000D. Word
 and repeats compare by 64-bit hashes inside one document.
 
 Defined results: a null or empty text has no words and all counts 0; repeated rows are
-judged one by one; an empty table gives an empty result; further columns of the input are
-ignored. One document is worked on by one task, in memory of some 40 times its bytes.
+judged one by one; equal lines and words count as such by 64-bit hashes; an empty table gives an empty result; further columns of
+the input are ignored. One document is worked on by one task, in memory of some 40 times its bytes.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ bytes. Equal windows have their anchors in equal places, so
    string from it to the end of the core of its follower, the first anchor ``CORE`` bytes on
    or more; each round pairs it with the rank 1, 2, 4, ... followers further on, sorts the
    distinct pairs, and reranks. A string that is unique leaves; one that repeats and has
-   reached ``length`` bytes is removed;
+   reached ``length`` bytes is removed, and where a document of smaller number has it, its windows
+   are left out from then on: what they could tell others that document tells;
 3. what doubling leaves open are windows that reach past the ends of those strings. What
    ``STEP`` neighbouring windows of an anchor have in common is compared first; where that
    repeats, the outermost of these windows; and where bytes are still open, all of them.
@@ -21,7 +22,8 @@ by 64-bit hashes inside their group, documents by a 64-bit hash of key and text.
 
 Defined results: a null text is empty; texts under ``length`` bytes lose nothing; a row
 repeated with the same key and text loses everything if it is long enough; a null key is
-a key like any other; empty tables give empty results; columns of the input stay.
+a key like any other; texts of any length are gone through whole, in overlapping stretches; of equal strings all go, wherever
+they stand; empty tables give empty results; columns of the input stay.
 """
 
 from __future__ import annotations

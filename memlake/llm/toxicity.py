@@ -13,8 +13,8 @@ labels in all labelled rows, makes the vote a probability.
 Defined results: null and empty texts, and texts without a word of any example, have no
 neighbour and get the calibrated prior; without examples of both labels every score is 0; a
 document with conflicting labels is no example; of a labelled id with several texts, the one
-with the smallest hash is the example; repeated rows are scored one by one; an empty table gives an empty
-result; further columns of the input are ignored.
+with the smallest hash is the example; repeated rows are scored one by one; texts of any length are compared whole; of examples
+equally near the first in index order counts; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations

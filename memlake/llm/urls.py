@@ -5,8 +5,8 @@ trained on a small table of labelled URLs, ``MAX_LABELLED`` rows in hash order a
 
 Defined results: a null URL or one without ``://`` has empty host and path and fits no
 rule; without labelled rows of both verdicts every URL without a rule is allowed; repeated
-rows are judged one by one; an empty table gives an empty result; further columns of the
-input are ignored. Very long URLs are judged whole.
+rows are judged one by one; of rules of one length the first listed counts, and a probability of exactly 0.5 allows; an
+empty table gives an empty result; further columns of the input are ignored. Very long URLs are judged whole.
 """
 
 from __future__ import annotations

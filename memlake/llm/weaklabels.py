@@ -9,8 +9,8 @@ levels of the measures learns the posteriors of ``TRAINED_ON`` documents in hash
 it also judges what no labeller has an opinion on.
 
 Defined results: null and empty texts have no words, which is a bad vote; a table in which
-all documents vote alike keeps the starting rates; repeated rows are judged one by one; an
-empty table gives an empty result; further columns of the input are ignored.
+all documents vote alike keeps the starting rates; repeated rows are judged one by one; texts of any length are
+measured whole; a score of exactly 0.5 is kept; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -553,6 +553,71 @@ def test_urls(spark, real):
     assert urls.filter_urls(real["pages"]).count() == real["pages"].count()
 
 
+def test_url_scores_by_hand(spark):
+    from math import exp, sqrt
+
+    def grams(part, text):
+        text = f"^{text}$"
+        return {(part, text[i : i + n]) for n in urls.SIZES for i in range(len(text) - n + 1)}
+
+    def bucket(part, gram):
+        h = 31 * part + len(gram)
+        for c in gram:
+            h = h * 0x01000193 % (1 << 32) ^ ord(c)
+        return h * 0x9E3779B1 % (1 << 32) >> 19
+
+    labelled = [(f"{w}{i}.example.net", f"/{p}/{i}", v) for i in range(40) for w, p, v in (("blog", "en", "allow"), ("spam", "win", "block"))]
+    weights = urls.train(spark.createDataFrame(labelled, "host string, path string, verdict string"))
+    pages = [("https://blog99.example.net/en/7", "allow"), ("http://spam77.example.net/win/3?x", "block"), ("x://SPAM5.example.net/win/", "block"), (None, None), ("no scheme", None), ("x://é.net/ü", None)]
+    found = urls.judge(urls.with_rules(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(pages)], "page_id long, url string")), weights).collect()
+    for r in found:
+        cells = {bucket(part, g) for part, text in enumerate((r["host"], r["path"])) for part, g in grams(part, text)}
+        want = 1 / (1 + exp(-(sum(float(weights[c]) for c in cells) / sqrt(max(1, len(cells))) + float(weights[-1]))))
+        assert r["score"] == pytest.approx(want, abs=1e-5) and r["verdict"] == ("allow" if r["score"] >= 0.5 else "block")
+        assert pages[r["page_id"]][1] in (None, r["verdict"])
+
+
+def test_expectation_maximisation_against_loops():
+    rng = np.random.default_rng(9)
+    truth = rng.random(400) < 0.7
+    votes = np.where(rng.random((400, weaklabels.N)) < 0.4, 2, np.where(rng.random((400, weaklabels.N)) < 0.85, truth[:, None], ~truth[:, None])).astype(int)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    share, rates = weaklabels.agree(patterns, counts.astype(float))
+    s, r, weight = 0.8, [[list(weaklabels.START[v]) for _ in range(weaklabels.N)] for v in (0, 1)], weaklabels.TRUST * 400
+    for _ in range(200):  # one document and one labeller at a time
+        post = []
+        for row in votes:
+            p = [1 - s, s]
+            for k, v in enumerate(row):
+                if v < 2:
+                    p = [p[label] * r[label][k][v] for label in (0, 1)]
+            post.append(p[1] / (p[0] + p[1]))
+        for label in (0, 1):
+            for k in range(weaklabels.N):
+                seen = [sum(q if label else 1 - q for q, row in zip(post, votes) if row[k] == v) for v in (0, 1)]
+                r[label][k] = [(seen[v] + weight * weaklabels.START[label][v]) / (sum(seen) + weight) for v in (0, 1)]
+        new = (sum(post) + 8) / 410
+        if abs(new - s) < 1e-10:
+            break
+        s = new
+    assert share == pytest.approx(s, abs=1e-6) and rates == pytest.approx(np.array(r), abs=1e-6)
+    assert np.mean((weaklabels.posterior(votes, share, rates) > 0.5) == truth) > truth.mean() + 0.05  # better than one label for all
+
+
+def test_scores_of_null_empty_and_repeated_rows(spark):
+    ids = [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"shared own{i} {'slur' if i % 2 else 'kind'}") for i in ids] + [(200, None), (201, ""), (202, " \n"), (203, "slur " * 100_000), (204, "shared slur"), (204, "shared slur"), (None, "shared slur")], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int"))
+    found = defaultdict(list)
+    for r in toxicity.score(docs, index).collect():
+        found[r["doc_id"]].append(round(r["score"], 9))
+    prior = round(index.probability(index.vote([])), 9)
+    assert found[200] == found[201] == found[202] == [prior] and 0 <= prior <= 1
+    assert found[204] == found[None] * 2 and found[203][0] > prior and found[204][0] > prior
+    judged = {r["doc_id"]: r for r in weaklabels.classify(docs).collect()}
+    assert all(judged[i]["votes"] == judged[201]["votes"] for i in (200, 202)) and judged[200]["score"] == judged[201]["score"]
+
+
 # pipeline
 
 def test_pipeline_stage_by_stage(spark, sf):
