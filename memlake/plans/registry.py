@@ -46,6 +46,12 @@ def _list(col: str) -> Column:
     return F.array_join(col, "|").alias(col)
 
 
+def _checksum(vector: str = "embedding") -> Column:
+    """Sum of a vector's components times their place."""
+    parts = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b), 3).alias("checksum")
+
+
 def _score(col: str = "similarity") -> Column:
     return F.round(col, 6).alias(col)
 
@@ -391,7 +397,9 @@ def error_frequency(t):
 @_query
 def embed_column(t):
     encoded = E.embed(t.notes.select("id", "content"), "content", lambda: E.HashingEncoder(64))
-    return encoded.select("id", F.size("embedding").alias("dims"), F.round(V.l2_norm("embedding"), 4).alias("norm"))
+    filled = F.size(F.filter("embedding", lambda x: x != 0)).alias("filled")
+    first = F.round(F.get("embedding", F.lit(0)).cast("double"), 3).alias("first")
+    return encoded.select("id", F.size("embedding").alias("dims"), F.round(V.l2_norm("embedding"), 4).alias("norm"), filled, first, _checksum())
 
 
 @_query
@@ -407,7 +415,7 @@ def refresh_embeddings(t):
         F.when(F.col("id") % 2 == 0, F.concat(F.lit("New "), "content")).otherwise(F.col("content")).alias("content_text"),
     )
     out = E.refresh(t.memory, changed, as_of(), lambda: E.HashingEncoder(64))
-    return out.select("id", "content_text", "created_at", (F.size("embedding") == 64).alias("has_vector"))
+    return out.select("id", "content_text", "created_at", _checksum())
 
 
 @_query
@@ -827,7 +835,8 @@ def stream_embed(t):
     folder = _folder(t)
     stream = _error_stream(t).selectExpr("id as source_id", "project_id", "error_message as content_text", "error_message as embed_text")
     _run(sinks.embed_stream(stream, lambda: E.HashingEncoder(64), folder, f"{folder}/cp"))
-    return t._spark.read.parquet(f"{folder}/memory_embeddings").select("source_id", "project_id", F.size("embedding").alias("dims"))
+    stored = t._spark.read.parquet(f"{folder}/memory_embeddings")
+    return stored.select("source_id", "project_id", F.size("embedding").alias("dims"), _checksum())
 
 
 @_query

@@ -371,8 +371,30 @@ _add("import_documents", "notes project_brief md_docs", f"""
                        string_split(tags, '|') as tags, {NOW} as created_at from chunks),""" + _merged_notes("notes", "arrived"))
 
 # --- embedding and search
-_add("embed_column", "notes", r"""
-    select id, 64::int as dims, case when regexp_matches(content, '\S') then 1.0 else 0.0 end::double as norm from notes""")
+
+
+def _hashed(name: str, source: str, dims: int = 64) -> str:
+    """Vectors of hashed word counts (CRC-32 of the UTF-8 bytes, to length one) of ``source`` (key, t): ``cs`` is the sum of components times their place."""
+    return f"""
+    crc_table as materialized (
+        select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as tab),
+    {name}_words as materialized (select key, word, count(*) as n from (select key, unnest(string_split_regex(lower(t), '\\s+')) as word from ({source})) where word <> '' group by key, word),
+    {name}_slots as materialized (
+        select word, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, length(word) + 1), lambda k: case
+            when unicode(substr(word, k, 1)) < 128 then [unicode(substr(word, k, 1))::bigint]
+            when unicode(substr(word, k, 1)) < 2048 then [(192 + (unicode(substr(word, k, 1)) >> 6))::bigint, (128 + (unicode(substr(word, k, 1)) & 63))::bigint]
+            else [(224 + (unicode(substr(word, k, 1)) >> 12))::bigint, (128 + ((unicode(substr(word, k, 1)) >> 6) & 63))::bigint, (128 + (unicode(substr(word, k, 1)) & 63))::bigint] end))),
+            lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % {dims} as slot
+        from (select distinct word from {name}_words), crc_table),
+    {name}_counts as materialized (select key, slot, sum(n)::float as x, sqrt(sum(sum(n) * sum(n)) over (partition by key))::float as norm
+        from {name}_words join {name}_slots using (word) group by key, slot),
+    {name} as materialized (select key, sum((slot + 1) * (x / norm)::double) as cs, coalesce(max((x / norm)::double) filter (slot = 0), 0) as first, count(*) as filled from {name}_counts group by key)"""
+
+
+_add("embed_column", "notes", """
+    select n.id, 64::int as dims, case when h.key is null then 0.0 else 1.0 end::double as norm, coalesce(h.filled, 0)::int as filled,
+           round(coalesce(h.first, 0), 3)::double as first, round(coalesce(h.cs, 0), 3)::double as checksum
+    from notes n left join h on h.key = n.id""", _hashed("h", "select id as key, content as t from notes"))
 _TAGS = joined("tags")
 _add("build_embedding_rows", "snapshots todos notes error_patterns instructions project_brief", f"""
     select project_id, 'snapshot' as source_type, id as source_id, 'summary' as content_type, summary as content_text, summary as embed_text, {_TAGS} from snapshots where summary <> ''
@@ -386,8 +408,9 @@ _add("build_embedding_rows", "snapshots todos notes error_patterns instructions
 _add("refresh_embeddings", "memory notes", f"""
     select id, case when hit then 'New ' || content_text else content_text end as content_text,
            case when hit then {NOW} else created_at end as created_at,
-           case when hit or embedding is not null then true end as has_vector
-    from (select *, source_type = 'note' and source_id % 2 = 0 as hit from memory)""")
+           round(case when hit then coalesce(h.cs, 0) else list_sum(list_transform(embedding, lambda x, i: x::double * i)) end, 3)::double as checksum
+    from (select *, source_type = 'note' and source_id % 2 = 0 as hit from memory) m left join h on h.key = m.id""",
+     _hashed("h", "select id as key, 'New ' || content_text as t from memory where source_type = 'note' and source_id % 2 = 0"))
 _add("cosine_similarity", "memory search_queries", """
     select m.id, q.query_id, round(list_cosine_similarity(m.embedding::double[], q.query_vec::double[]), 6) as similarity
     from memory m join search_queries q on m.id = q.query_id
@@ -698,7 +721,8 @@ ORACLES["activity_sessions"] = _session()
 ORACLES["stream_activity_windows"] = _tumbling(f"window_end <= {_MARK}")
 ORACLES["stream_activity_sessions"] = _session(f"ended_at + interval 90 minutes <= {_MARK}")
 ORACLES["stream_drop_replays"] = f"with a as ({_ACT}) select project_id, kind, ts, event_id from a"
-ORACLES["stream_embed"] = "select event_id as source_id, 'src' || user_id % 20 as project_id, 64::int as dims from events where event_type = 'error'"
+_add("stream_embed", "error_log", "select event_id as source_id, 'src' || user_id % 20 as project_id, 64::int as dims, round(h.cs, 3)::double as checksum from events join h on h.key = event_id where event_type = 'error'",
+     _hashed("h", "select event_id as key, 'Failure ' || substr(md5((event_id % 40)::varchar), 1, 8) || ' ' || substr(md5((user_id % 30)::varchar), 1, 8) as t from events where event_type = 'error'"))
 _add("stream_task_state", "todo_changes", """
     select id, change_id, changed_at, from_status, to_status,
            case when from_status is not null then (epoch_us(changed_at) - epoch_us(since)) / 1e6 end as seconds_in_status, done.v as completed_at
