@@ -27,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,8 +72,10 @@ class Index:
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the index that a text has, and their weights, to length one."""
         at = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
-        n = np.fromiter(counts.values(), float, len(counts))[at >= 0]
-        at = at[at >= 0]
+        n = np.fromiter(counts.values(), float, len(counts))
+        return self.weighted(at[at >= 0], n[at >= 0])
+
+    def weighted(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(n)) * self.idf[at]
         return at, w / (np.sqrt((w * w).sum()) or 1.0)
 
@@ -161,41 +164,56 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Index
     label = examples.column("toxic").to_pylist()
     if len(set(label)) < 2:
         return None
-    rows = [
-        (i, v, Counter(dict(zip(t.as_py(), n.as_py()))))
-        for i, v, t, n in zip(examples.column("doc_id").to_pylist(), label, examples.column("terms"), examples.column("counts"))
-    ]
-    number, weight = weigh(rows)
-    return build(number, weight, rows, shares)
+    ids, texts = examples.column("doc_id").to_pylist(), examples.column("terms").combine_chunks()
+    counts = examples.column("counts").combine_chunks().flatten().to_numpy().astype(float)
+    # terms become numbers outside Python, whose objects for all words of all examples would fill the driver
+    ends = np.cumsum(texts.value_lengths().to_numpy())[:-1]
+    coded = texts.flatten().dictionary_encode()
+    del examples, texts
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    number = {t: i for i, t in enumerate(coded.dictionary.take(pa.array(order)).to_pylist())}
+    held = list(zip(np.split(rank[coded.indices.to_numpy()], ends), np.split(counts, ends)))
+    del coded, counts
+    pa.default_memory_pool().release_unused()
+    return _indexed(number, weigh(len(number), label, held), ids, label, held, shares)
+
+
+Held = tuple[np.ndarray, np.ndarray]  #: numbers of a text's terms, and how often it has them
 
 
-def weigh(rows: list[tuple]) -> tuple[dict[str, int], np.ndarray]:
-    """Every term of the examples, and its weight: inverse document frequency times absolute log-odds."""
-    held = [Counter(t for _, label, counts in rows if label == v for t in counts) for v in (0, 1)]
-    number = {t: i for i, t in enumerate(sorted(held[0].keys() | held[1].keys()))}
-    fine, bad = (np.array([h[t] for t in number], float) for h in held)
-    n = [sum(label == v for _, label, _ in rows) for v in (0, 1)]
-    idf = np.log((1 + len(rows)) / (1 + fine + bad)) + 1
-    return number, idf * np.abs(np.log((bad + 0.5) / (n[1] + 1)) - np.log((fine + 0.5) / (n[0] + 1)))
+def weigh(terms: int, label: list[int], held: list[Held]) -> np.ndarray:
+    """Weight of every term: inverse document frequency times absolute log-odds."""
+    fine, bad = (sum((np.bincount(at, minlength=terms) for v, (at, _) in zip(label, held) if v == kind), np.zeros(terms)) for kind in (0, 1))
+    n = [label.count(v) for v in (0, 1)]
+    idf = np.log((1 + len(label)) / (1 + fine + bad)) + 1
+    return idf * np.abs(np.log((bad + 0.5) / (n[1] + 1)) - np.log((fine + 0.5) / (n[0] + 1)))
 
 
 def build(number: dict[str, int], idf: np.ndarray, rows: list[tuple], shares: dict[int, int]) -> Index:
+    """Index of rows of id, label and term counts."""
+    held = [(np.array([number[t] for t in counts], np.int64), np.array(list(counts.values()), float)) for _, _, counts in rows]
+    return _indexed(number, idf, [r[0] for r in rows], [r[1] for r in rows], held, shares)
+
+
+def _indexed(number: dict[str, int], idf: np.ndarray, ids: list, label: list[int], held: list[Held], shares: dict[int, int]) -> Index:
     none = np.zeros(0)
     index = Index(number, idf, *[none] * 10, 0.0, (0.0, 0.0))
-    vectors = [index.vector(counts) for _, _, counts in rows]
+    vectors = [index.weighted(at, n) for at, n in held]
     # examples that lean on the same term lie in the same blocks, which keeps block bounds tight
-    order = sorted(range(len(rows)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else len(number), i))
-    vectors, rows = [vectors[i] for i in order], [rows[i] for i in order]
-    index.ids, index.label = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    blocks = -(-len(rows) // BLOCK)
+    order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]) if len(vectors[i][0]) else len(number), i))
+    vectors = [vectors[i] for i in order]
+    index.ids, index.label = np.array([ids[i] for i in order]), np.array([label[i] for i in order], float)
+    blocks = -(-len(ids) // BLOCK)
     term = np.concatenate([v[0] for v in vectors])
-    example = np.repeat(np.arange(len(rows)), [len(v[0]) for v in vectors])
+    example = np.repeat(np.arange(len(ids)), [len(v[0]) for v in vectors])
     weight = np.concatenate([v[1] for v in vectors])
     top = np.argsort(-np.bincount(term, minlength=len(number)), kind="stable")[:FREQUENT]
     index.column = np.full(len(number), -1, np.int32)
     index.column[top] = np.arange(len(top))
     column = index.column[term]
-    index.dense = np.zeros((len(top), len(rows)))
+    index.dense = np.zeros((len(top), len(ids)))
     index.dense[column[column >= 0], example[column >= 0]] = weight[column >= 0]
     term, example, weight = (x[column < 0] for x in (term, example, weight))
     at = np.lexsort((example, term))
@@ -209,9 +227,9 @@ def build(number: dict[str, int], idf: np.ndarray, rows: list[tuple], shares: di
     index.cells = np.searchsorted(term[first], np.arange(len(number) + 1))
     total = shares.get(0, 0) + shares.get(1, 0)
     index.prior = shares.get(1, 0) / total
-    near = [x for i in range(0, len(rows), TEXTS) for x in index.nearest_all(vectors[i : i + TEXTS], NEIGHBOURS, list(range(i, min(i + TEXTS, len(rows)))))]
+    near = [x for i in range(0, len(ids), TEXTS) for x in index.nearest_all(vectors[i : i + TEXTS], NEIGHBOURS, list(range(i, min(i + TEXTS, len(ids)))))]
     votes = np.array([index.vote(x) for x in near])
-    balance = np.where(index.label == 1, index.prior / index.label.sum(), (1 - index.prior) / (1 - index.label).sum()) * len(rows)
+    balance = np.where(index.label == 1, index.prior / index.label.sum(), (1 - index.prior) / (1 - index.label).sum()) * len(ids)
     index.curve = _logistic(votes, index.label, balance)
     return index
 
