@@ -3,6 +3,13 @@ sources are mixed to their weights, and what stays is packed into sequences.
 
 Every stage takes the documents that its predecessor kept; its result is written as Parquet
 and read again for the next one. All but the last return the columns of documents.
+
+Defined results, stage by stage: a null or empty text is kept by toxicity (its score is the calibrated prior, which is
+below the bar unless nearly all labels are toxic), is one group with all texts without words in near-duplicates, loses nothing, is
+taken no time by the mix (it has no words), and so doesn't reach packing. A null id is never learnt from; rows of one id, or
+of none, are documents of their own in every stage. Of a group of near-duplicates the smallest id stays, of its rows the one of smallest
+hash. Texts of any length go through whole. Columns beside those of documents, whatever their names, are carried along up to
+packing; a name that a stage uses inside begins with an underscore. An empty table, or one whose rows all go, gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import mixing, packing, simhash, suffixdedup, toxicity
-from memlake.llm.common import table, written
+from memlake.llm.common import discard, table, written
 from memlake.llm.registry import tokenizer_path
 
 
@@ -65,6 +72,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        last, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if at:  # what the stage before wrote has been read
+            discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
