@@ -6,6 +6,7 @@ Results carry a ``rank`` per query.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,6 +23,10 @@ from memlake.plans.probe import MAX_SHIPPED_QUERIES, ROWS_PER_TASK, nearest
 from memlake.plans.ranking import top_n
 from memlake.session import checkpointed
 
+#: Share of cells that finds 0.9 of the nearest of vectors without clusters; clustered ones need fewer.
+PROBED_SHARE = 0.75
+#: Hits (ids and scores) that may be sent to every task.
+MAX_SENT_HITS = 200_000
 PAYLOAD = ["source_type", "source_id", "content_type", "content_text", "tags", "created_at"]
 
 
@@ -58,7 +63,7 @@ def semantic_topk(
 ) -> DataFrame:
     """Nearest rows per query, no score threshold; rows without vector never match."""
     hits, bounded = semantic_hits(queries, memory, k, content_type, tags, max_shipped)
-    return with_payload(hits, memory, bounded).withColumn("search_mode", F.lit("semantic"))
+    return with_payload(hits, memory, bounded and k * max_shipped <= MAX_SENT_HITS).withColumn("search_mode", F.lit("semantic"))
 
 
 def _closest_cells(asked: DataFrame, centres: np.ndarray, nprobe: int) -> DataFrame:
@@ -75,14 +80,16 @@ def _closest_cells(asked: DataFrame, centres: np.ndarray, nprobe: int) -> DataFr
 
 
 def ann_topk(
-    queries: DataFrame, memory: DataFrame, k: int = 5, nlist: int = 16, nprobe: int = 4, seed: int = 7
+    queries: DataFrame, memory: DataFrame, k: int = 5, nlist: int | None = None, nprobe: int | None = None, share: float = PROBED_SHARE, seed: int = 7
 ) -> DataFrame:
     """Approximate nearest rows: only the ``nprobe`` closest of ``nlist`` cells are scored.
 
-    The cell of a row comes from k-means over all vectors; inside the probed cells the
-    scoring is exact. More rows want more cells, about the root of their number.
+    The cell of a row comes from k-means over all vectors, by default as many cells as the root of their number; a ``share`` of
+    them is probed. Inside the probed cells the scoring is exact.
     """
     rows = memory.filter(F.col("embedding").isNotNull())
+    nlist = nlist or max(2, round(rows.count() ** 0.5))
+    nprobe = nprobe or math.ceil(share * nlist)
     points = rows.withColumn("_point", array_to_vector("embedding"))
     model = KMeans(
         k=nlist, seed=seed, distanceMeasure="cosine", featuresCol="_point", predictionCol="_cell"
@@ -183,7 +190,7 @@ def match_errors(
     hits, bounded = semantic_hits(queries.join(full, "query_id", "left_anti"), memory, k, content_type="error")
     sources = memory.filter(F.col("content_type") == "error").select("id", "source_id")
     fill = (
-        sources.join(F.broadcast(hits) if bounded else hits, "id")
+        sources.join(F.broadcast(hits) if bounded and k * MAX_SHIPPED_QUERIES <= MAX_SENT_HITS else hits, "id")
         .select("query_id", F.col("source_id").alias("id"), (F.col("rank") + k).alias("rank"),
                 F.col("similarity").alias("match_score"), F.lit("semantic").alias("match_type"))
         .join(text.select("query_id", "id"), ["query_id", "id"], "left_anti")

@@ -6,6 +6,7 @@ from memlake.operators import search as S
 from memlake.operators import substring
 from memlake.plans import probe
 from memlake.plans.probe import nearest
+from memlake.sources.derived import Tables
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +76,13 @@ def test_probing_all_cells_is_exact(vectors):
     assert 0.3 < recall.recall <= 1
 
 
+def test_recall_of_the_registered_search(spark):
+    t = Tables(spark, "/root/testdata/sf0.01")
+    exact, _ = nearest(t.search_queries, t.memory, 5, ["project_id"])
+    (recall,) = S.recall_at_k(S.ann_topk(t.search_queries, t.memory), exact).collect()
+    assert recall.recall >= 0.9
+
+
 def test_keyword_takes_wildcards_literally_and_newest_first(vectors):
     q, m, queries, memory = vectors
     got = {(r.query_id, r.id, r["rank"]) for r in S.keyword_search(q, m, 3).collect()}
