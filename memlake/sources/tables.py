@@ -99,7 +99,7 @@ def append_changes(changes: DataFrame, root: str, table: str, batch: str) -> Non
     """
     spark, log = changes.sparkSession, f"{root}/{table}_log"
     versions = _committed(spark, f"{log}/compacted")
-    if versions and batch in _folded(spark, log, versions[-1]):
+    if versions and not spark.read.parquet(f"{log}/folded/v={versions[-1]}").filter(F.col("batch") == batch).isEmpty():
         return
     _laid_out(changes).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{log}/batches/batch={batch}")
 
