@@ -42,6 +42,16 @@ _MACROS = {
     },
 }
 
+_BRIEFS = """
+        select source as project_id, concat('Project ', source) as project_name,
+               max(case when doc_id % 4 = 0 then text end) as tech_stack,
+               max(case when doc_id % 4 = 1 then text end) as module_map,
+               max(case when doc_id % 4 = 2 then text end) as conventions,
+               max(case when doc_id % 4 = 3 and n_chars > 1500 then text end) as critical_constraints,
+               cast(null as varchar(9)) as entry_points,
+               @T0() + @DAYS(count(*) % 28) as updated_at
+        from documents group by source"""
+
 # A project holds the rows of one document source; users, customers, conversations
 # and vectors are dealt to projects by their id.
 _SQL: dict[str, str] = {
@@ -52,15 +62,8 @@ _SQL: dict[str, str] = {
         union all
         select concat(max(source), '/empty') as id, 'Empty' as name, '/work' as path, @T0() as created_at, @T0() as last_accessed_at
         from documents""",
-    "project_brief": """
-        select source as project_id, concat('Project ', source) as project_name,
-               max(case when doc_id % 4 = 0 then text end) as tech_stack,
-               max(case when doc_id % 4 = 1 then text end) as module_map,
-               max(case when doc_id % 4 = 2 then text end) as conventions,
-               max(case when doc_id % 4 = 3 and n_chars > 1500 then text end) as critical_constraints,
-               cast(null as varchar(9)) as entry_points,
-               @T0() + @DAYS(count(*) % 28) as updated_at
-        from documents group by source having count(*) % 5 <> 0""",
+    "project_brief": _BRIEFS + " having count(*) % 5 <> 0",
+    "every_brief": _BRIEFS,
     "notes": """
         select doc_id as id, source as project_id, text as content,
                case doc_id % 5 when 0 then 'decision' when 1 then 'debug' when 2 then 'architecture'

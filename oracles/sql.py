@@ -82,11 +82,11 @@ _warn = ", ".join(
     f"case when length({f}) > {n} then '{f}: ' || length({f}) || ' chars (recommended max: {n}). Consider condensing.' end"
     for f, n in _LIMITS.items()
 )
-_add("brief_size_warnings", "project_brief", f"""
+_add("brief_size_warnings", "every_brief", f"""
     select project_id, cast({_total} as int) as total_chars, cast(ceil(({_total}) / 4.0) as bigint) as tokens,
            concat_ws('|', {_warn}, case when {_total} > 2000 then 'Total brief size: ' || ({_total}) || ' chars. This costs ~'
              || cast(ceil(({_total}) / 4.0) as bigint) || ' tokens on every session start. Consider using notes for extended details and keeping the brief concise.' end) as warnings
-    from project_brief""")
+    from every_brief""")
 _last = lambda c: (
     f"(select struct_pack(v := {c}) from todo_changes x where x.op = 'update' and x.id = t.id and x.project_id = t.project_id "
     f"and list_contains(x.set_fields, '{c}') order by x.change_id desc limit 1)"
