@@ -109,7 +109,7 @@ def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:
 def _newest_holding(rows: DataFrame, text: str, asked: DataFrame, k: int, time: str) -> DataFrame:
     """``project_id``, ``_text``, ``id`` and ``rank`` of the ``k`` newest rows that hold each asked text, letter case aside."""
     low = rows.select("project_id", "id", time, F.lower(text).alias("_low"))
-    return top_n(holding(low, asked, ["project_id"], "_low"), k, ["project_id", "_text"], [F.col(time).desc(), F.col("id").asc()]).drop(time)
+    return top_n(holding(low, asked, ["project_id"], "_low", newest=(k, time)), k, ["project_id", "_text"], [F.col(time).desc(), F.col("id").asc()]).drop(time)
 
 
 def keyword_search(

@@ -3,14 +3,20 @@
 A text that holds another holds all its pieces of three characters (a shorter one is a piece itself). Stored
 texts give the pieces that are asked for, each once; an asked text is looked up by the one of its pieces that the fewest texts
 of its block hold. Only ids and pieces are joined; the texts come back once, by id, to test
-their candidates. Pieces that many texts hold are split by salt.
+their candidates. Pieces that many texts hold are split by salt. Where only the newest rows of each asked text are
+wanted, the newest that hold its piece are tested first, and further ones only for texts that have too few hits among them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.plans.ranking import top_n
 from memlake.plans.skew import SALT, hot_keys, repeat, spread
 from memlake.session import checkpointed
 
@@ -18,30 +24,40 @@ PIECE = 3
 POSTINGS_PER_TASK = 20_000
 #: Asked pieces that may be sent to every task.
 MAX_SENT_PIECES = 1 << 18
+#: Rows of a piece that are tested, newest first, before all of them are.
+NEWEST_TESTED = (64, 4_096)
+
 
+def pieces(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of each of ``sizes`` (1 to 3) characters of a text as longs: 21 bits hold a character, none is 0."""
+    @F.pandas_udf("array<bigint>")
+    def runs(texts: pd.Series) -> pd.Series:
+        out = []
+        for one in texts:
+            letters = np.frombuffer((one or "").encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+            parts = [sum(letters[k : max(0, len(letters) - n + 1) + k] << (21 * k) for k in range(n)) for n in sizes]
+            out.append(np.unique(np.concatenate(parts)))
+        return pd.Series(out)
 
-def pieces(text: Column, size: int = PIECE) -> Column:
-    """Distinct runs of ``size`` characters of a text."""
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
-    runs = letters
-    for k in range(1, size):  # an expression inside a lambda would be computed for each character anew
-        runs = F.zip_with(runs, F.slice(letters, k + 1, F.length(text)), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.array_compact(runs))
+    return runs(text)
 
 
-def holding(rows: DataFrame, asked: DataFrame, block: list[str], text: str, postings_per_task: int = POSTINGS_PER_TASK) -> DataFrame:
+def holding(rows: DataFrame, asked: DataFrame, block: list[str], text: str, postings_per_task: int = POSTINGS_PER_TASK, newest: tuple[int, str] | None = None) -> DataFrame:
     """``block``, ``_text`` and the columns of ``rows`` but its text: every row with every asked text of its block that it holds.
 
-    ``rows`` has a unique ``id``; ``asked`` has ``block`` and ``_text``, distinct. Letter case counts.
+    ``rows`` has a unique ``id``; ``asked`` has ``block`` and ``_text``, distinct. Letter case counts. With ``newest`` (a number
+    and a column of ``rows``) only so many rows of each asked text are sure to be there, the last by that column, then by id.
     """
     asked = checkpointed(asked.filter(F.col("_text").isNotNull()))
-    wanted = asked.filter("_text <> ''").select(
-        *block, "_text", F.explode(F.when(F.length("_text") < PIECE, F.array("_text")).otherwise(pieces(F.col("_text")))).alias("_piece"))
+    size = F.least(F.length("_text"), F.lit(PIECE))
+    sizes = [r[0] for r in asked.filter("_text <> ''").select(size).distinct().collect()]  # 1 to 3
+    wanted = [asked.filter(size == n).select(*block, "_text", F.explode(pieces(F.col("_text"), [n])).alias("_piece")) for n in sizes]
+    none = asked.limit(0).select(*block, "_text", F.lit(0).cast("long").alias("_piece"))
+    wanted = checkpointed(reduce(DataFrame.unionByName, [*wanted, none]))
     known = checkpointed(wanted.select("_piece").distinct())
-    sizes = [r[0] for r in known.select(F.length("_piece")).distinct().collect()]  # 1 to 3
     few = known.limit(MAX_SENT_PIECES + 1).count() <= MAX_SENT_PIECES
-    stored = F.concat(*[pieces(F.col(text), n) for n in sizes]) if sizes else F.array().cast("array<string>")
-    found = rows.filter(F.col(text).isNotNull()).select(*block, "id", F.explode(stored).alias("_piece"))
+    stored = pieces(F.col(text), sizes) if sizes else F.array().cast("array<long>")
+    found = rows.filter(F.col(text).isNotNull()).select(*block, "id", *(newest or ())[1:], F.explode(stored).alias("_piece"))
     found = checkpointed(found.join(F.broadcast(known) if few else known, "_piece", "left_semi"))
 
     key = [*block, "_piece"]
@@ -50,10 +66,26 @@ def holding(rows: DataFrame, asked: DataFrame, block: list[str], text: str, post
     rare = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_piece").alias("piece")))
     by = checkpointed(wanted.join(held, key, "left").groupBy(*block, "_text").agg(rare.alias("_rare")).filter("_rare.n > 0").select(
         *block, F.col("_rare.piece").alias("_piece"), "_text"))
-    postings = found.join(by.select(*key).distinct(), key, "left_semi")
-    hot = checkpointed(hot_keys(postings, key, postings_per_task))
-    candidates = spread(postings, hot, key, F.col("id")).join(repeat(by, hot, key), [*key, SALT]).select("id", "_text")
-    named = rows.join(candidates, "id").filter(F.contains(F.col(text), F.col("_text")))
     columns = [*block, "_text", *[c for c in rows.columns if c not in (*block, text)]]
+
+    def tested(candidates: DataFrame) -> DataFrame:
+        return rows.join(candidates, "id").filter(F.contains(F.col(text), F.col("_text"))).select(*columns)
+
+    hits = []
+    for most in NEWEST_TESTED if newest else ():
+        k, time = newest
+        last = top_n(found.join(by.select(*key).distinct(), key, "left_semi"), most, key, [F.col(time).desc(), F.col("id").asc()], "_place")
+        some = checkpointed(tested(last.join(by, key).select("id", "_text")))
+        enough = some.groupBy(*block, "_text").agg(F.count(F.lit(1)).alias("_hits")).filter(F.col("_hits") >= k).drop("_hits")
+        whole = by.join(held.filter(F.col("_n") <= most), key).select(*block, "_text")
+        settled = checkpointed(enough.unionByName(whole).distinct())
+        hits.append(some.join(settled, [*block, "_text"], "left_semi"))
+        by = checkpointed(by.join(settled, [*block, "_text"], "left_anti"))
+        if by.isEmpty():
+            break
+    else:
+        postings = found.join(by.select(*key).distinct(), key, "left_semi")
+        hot = checkpointed(hot_keys(postings, key, postings_per_task))
+        hits.append(tested(spread(postings, hot, key, F.col("id")).join(repeat(by, hot, key), [*key, SALT]).select("id", "_text")))
     every = rows.filter(F.col(text).isNotNull()).join(asked.filter("_text = ''"), block)
-    return named.select(*columns).unionByName(every.select(*columns))
+    return reduce(DataFrame.unionByName, [*hits, every.select(*columns)])

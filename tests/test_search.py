@@ -108,6 +108,24 @@ def test_substrings_equal_brute_force(spark, monkeypatch, per_task, sent):
     assert sorted((r["project_id"], r["_text"], r["id"]) for r in found.collect()) == want
 
 
+@pytest.mark.parametrize("tested", [(2, 5), (64, 4_096)])
+def test_newest_rows_are_tested_first(spark, monkeypatch, tested):
+    # every row that holds a text's rarest piece was read and tested, however few were wanted
+    monkeypatch.setattr(substring, "NEWEST_TESTED", tested)
+    words = ["anaconda", "condor", "cone", "éo", "x"]
+    rows = [(i, f"p{i % 2}", i * 7 % 40, " ".join(w for j, w in enumerate(words) if i % (j + 2) == 0) + f" con {i}") for i in range(80)]
+    asked = [(f"p{p}", w) for p in range(2) for w in [*words, "con", "a", "con 7", "nothing", ""]]
+    low = spark.createDataFrame(rows, "id long, project_id string, at int, _low string")
+    texts = spark.createDataFrame(asked, "project_id string, _text string")
+    found = substring.holding(low, texts, ["project_id"], "_low", newest=(3, "at")).collect()
+    for p, text in asked:
+        want = sorted(((-t, i) for i, q, t, low_ in rows if q == p and text in low_))
+        got = sorted((-r["at"], r.id) for r in found if (r.project_id, r._text) == (p, text))
+        assert got[:3] == want[:3] and set(got) <= set(want) and len(got) == len(set(got))
+        if tested[0] == 2 and text == "con":
+            assert len(got) <= 5 < len(want)
+
+
 def test_keyword_plan_joins_no_project_with_all_its_texts(vectors):
     q, m, _, _ = vectors
     plan = S.keyword_search(q, m, 3)._jdf.queryExecution().optimizedPlan().toString()
