@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -21,12 +20,11 @@ class TaskLife(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("task", "status string, since timestamp, completed timestamp")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         (task,) = key
         status, since, completed = self._state.get() if self._state.exists() else (None, None, None)
-        changes = pd.concat(list(rows)).sort_values(["changed_at", "change_id"])
-        out = []
-        for change in changes.itertuples(index=False):
+        changes = sorted(rows, key=lambda r: (r.changed_at is None, r.changed_at, r.change_id is None, r.change_id))
+        for change in changes:
             if change.op == "insert":
                 target, done = change.status, None
             elif status is None:
@@ -39,8 +37,9 @@ class TaskLife(StatefulProcessor):
                 target, done = change.status, completed
             else:
                 continue
-            seconds = (pd.Timestamp(change.changed_at) - pd.Timestamp(since)).total_seconds() if since is not None else None
-            out.append((task, change.change_id, change.changed_at, status, target, seconds, done))
+            seconds = (change.changed_at - since).total_seconds() if since is not None and change.changed_at is not None else None
+            yield Row(id=task, change_id=change.change_id, changed_at=change.changed_at, from_status=status, to_status=target,
+                      seconds_in_status=seconds, completed_at=done)
             if target != status:
                 since = change.changed_at
             status, completed = target, done
@@ -50,7 +49,6 @@ class TaskLife(StatefulProcessor):
             self._state.clear()
         else:
             self._state.update((status, since, completed))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"seconds_in_status": "float64"})
 
     def close(self) -> None:
         pass
@@ -58,6 +56,6 @@ class TaskLife(StatefulProcessor):
 
 def task_transitions(stream: DataFrame) -> DataFrame:
     """Transitions of (id, change_id, changed_at, op, set_fields, status); needs the RocksDB state store."""
-    return stream.groupBy("id").transformWithStateInPandas(
+    return stream.groupBy("id").transformWithState(
         statefulProcessor=TaskLife(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )

@@ -216,3 +216,24 @@ def test_reports_limit_before_shuffle(spark):
     df = spark.range(50).select("id", (F.col("id") % 2).cast("string").alias("project_id"), time.alias("created_at"))
     plan = R.list_notes(df, n=3)._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_task_changes_are_handled_row_by_row():
+    # a pandas frame was built, sorted and returned for each task and batch
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from memlake.streaming.tasks import TaskLife
+
+    held = {}
+    state = SimpleNamespace(exists=lambda: "v" in held, get=lambda: held["v"], update=lambda v: held.update(v=v), clear=held.clear)
+    life = TaskLife()
+    life.init(SimpleNamespace(getValueState=lambda name, schema: state))
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    change = lambda i, s, op, status=None, fields=None: Row(change_id=i, changed_at=at(s), op=op, set_fields=fields, status=status)
+    rows = [change(3, 9, "complete"), change(1, 1, "insert", "todo"), change(2, 4, "update", "blocked", ["status"]), change(4, 9, "update", "todo", None)]
+    got = [(r.change_id, r.from_status, r.to_status, r.seconds_in_status) for r in life.handleInputRows((7,), iter(rows), None)]
+    assert got == [(1, None, "todo", None), (2, "todo", "blocked", 3.0), (3, "blocked", "done", 5.0)]
+    assert held["v"] == ("done", at(9), at(9))
+    assert [r.to_status for r in life.handleInputRows((7,), iter([change(5, 20, "delete")]), None)] == [None] and not held
