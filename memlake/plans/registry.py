@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from memlake.functions import predicates as P
 from memlake.functions import text as X
 from memlake.functions import vectors as V
-from memlake.functions.trigram import trgm_sim, trigrams
+from memlake.functions.trigram import jaccard, trgm_sim, trigrams
 from memlake.operators import changes as C
 from memlake.operators import embedding as E
 from memlake.operators import imports as I
@@ -330,7 +330,11 @@ def trigram_sets(t):
 
 @_query
 def trigram_similarity(t):
-    return t.notes.join(t.project_brief, "project_id").select("id", F.round(trgm_sim("content", "tech_stack"), 6).alias("similarity"))
+    # the trigrams of a brief are taken once, not for each of its notes
+    stacks = t.project_brief.select("project_id", trigrams("tech_stack").alias("_stack"))
+    both = t.notes.select("id", "project_id", trigrams("content").alias("_grams")).join(stacks, "project_id")
+    common = F.size(F.array_intersect("_grams", "_stack"))
+    return both.select("id", F.round(jaccard(common, F.size("_grams"), F.size("_stack")), 6).alias("similarity"))
 
 
 @_query

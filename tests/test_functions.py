@@ -98,3 +98,11 @@ def test_chunks_keep_the_whole_text(spark):
 def test_import_skips_blank_and_marked(spark):
     df = spark.createDataFrame([(1, " \n"), (2, "has MARK"), (3, "ok")], "doc_id long, content string")
     assert [r.doc_id for r in I.importable(df, "content", "MARK").collect()] == [3]
+
+
+def test_trigrams_of_a_brief_are_taken_before_the_join(spark, sf):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["trigram_similarity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "_stack" in above and "tech_stack" not in above and "content" not in above
