@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,18 @@ def test_trigrams_of_a_brief_are_taken_before_the_join(spark, sf):
     plan = entry.queries()["trigram_similarity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join Inner")]
     assert "_stack" in above and "tech_stack" not in above and "content" not in above
+
+
+def test_sections_of_a_long_document_in_linear_time(spark):
+    # 60,000 lines and 6,000 different headings, each twice; one cut of the text for each line took minutes
+    lines = [f"# part {i % 6000}" if i % 5 == 0 else f"line {i}" for i in range(60_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "")], "doc_id long, content string")
+    began = time.monotonic()
+    rows = I.split_sections(df).orderBy("doc_id", "pos").collect()
+    assert time.monotonic() - began < 30
+    found = [(r.heading, r.body) for r in rows if r.doc_id == 1]
+    want = {}
+    for at in range(0, len(lines), 5):
+        want[lines[at][2:]] = "\n".join(lines[at + 1 : at + 5])
+    assert found == list(want.items())
+    assert [(r.doc_id, r.pos, r.heading, r.body) for r in rows if r.doc_id != 1] == [(3, 0, "__preamble__", "")]
