@@ -7,10 +7,9 @@ Results carry a ``rank`` per query.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -66,17 +65,21 @@ def semantic_topk(
     return with_payload(hits, memory, bounded and k * max_shipped <= MAX_SENT_HITS).withColumn("search_mode", F.lit("semantic"))
 
 
-def _closest_cells(asked: DataFrame, centres: np.ndarray, nprobe: int) -> DataFrame:
-    """Each query once for each of its ``nprobe`` closest cells; the centres (``nlist`` vectors) go to every task."""
+def _closest_cells(centres: np.ndarray, nprobe: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Which cells query vectors ask, as packed bits: the ``nprobe`` closest; the centres (``nlist`` vectors) go to every task."""
     norms = np.linalg.norm(centres, axis=1, keepdims=True)
     held = np.divide(centres, norms, out=np.zeros_like(centres), where=norms > 0)
 
-    @F.pandas_udf("array<int>")
-    def cells(vectors: pd.Series) -> pd.Series:
-        scores = np.stack(vectors.to_list()).astype(float) @ held.T
-        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :nprobe].astype(np.int32)))
+    def cells(vectors: np.ndarray) -> np.ndarray:
+        asked = []
+        for at in range(0, len(vectors), 1_024):
+            scores = vectors[at : at + 1_024] @ held.T
+            mine = np.zeros(scores.shape, bool)
+            np.put_along_axis(mine, np.argsort(-scores, axis=1, kind="stable")[:, :nprobe], True, axis=1)
+            asked.append(np.packbits(mine, axis=1))
+        return np.concatenate(asked)
 
-    return asked.withColumn("_cell", F.explode(cells("query_vec")))
+    return cells
 
 
 def ann_topk(
@@ -85,7 +88,7 @@ def ann_topk(
     """Approximate nearest rows: only the ``nprobe`` closest of ``nlist`` cells are scored.
 
     The cell of a row comes from k-means over all vectors, by default as many cells as the root of their number; a ``share`` of
-    them is probed. Inside the probed cells the scoring is exact.
+    them is probed. Inside the probed cells the scoring is exact. A query is sent to its project's rows once, not to each cell.
     """
     rows = memory.filter(F.col("embedding").isNotNull())
     nlist = nlist or max(2, round(rows.count() ** 0.5))
@@ -94,9 +97,8 @@ def ann_topk(
     model = KMeans(
         k=nlist, seed=seed, distanceMeasure="cosine", featuresCol="_point", predictionCol="_cell"
     ).fit(points)
-    asked = queries.filter(F.col("query_vec").isNotNull())
-    probed = _closest_cells(asked, np.array(model.clusterCenters()), nprobe)
-    hits, _ = nearest(probed, model.transform(points).drop("_point"), k, ["project_id", "_cell"])
+    cells = _closest_cells(np.array(model.clusterCenters()), nprobe)
+    hits, _ = nearest(queries, model.transform(points).drop("_point"), k, ["project_id"], cells=cells)
     return hits
 
 

@@ -58,6 +58,48 @@ def test_more_queries_than_a_tile(vectors, monkeypatch):
     assert found[7] == found[1000] == want
 
 
+@pytest.mark.parametrize("row_tile,waiting", [(9, 1 << 18), (2_048, 1), (9, 1)])
+def test_tiles_of_rows_and_early_cuts(monkeypatch, row_tile, waiting):
+    monkeypatch.setattr(probe, "QUERY_TILE", 7)
+    monkeypatch.setattr(probe, "ROW_TILE", row_tile)
+    monkeypatch.setattr(probe, "WAITING", waiting)
+    rng = np.random.default_rng(6)
+    rows, asked = rng.integers(0, 3, (200, 4)).astype(float), rng.integers(0, 3, (50, 4)).astype(float)  # many ties
+    cells, bits = rng.integers(0, 11, 200), rng.random((50, 11)) < 0.5
+    for some in (None, bits):
+        state = probe._Best(asked, 6, None if some is None else np.packbits(some, axis=1))
+        for at in range(0, 200, 60):
+            own = slice(at, min(at + 60, 200))
+            state.add(rows[own], np.arange(200)[own], None if some is None else cells[own])
+        seen = lambda i, j: some is None or some[i, cells[j]]
+        want = {(i, s, -r) for i, a in enumerate(asked) for s, r in sorted(((float(a @ x), -j) for j, x in enumerate(rows) if seen(i, j)), reverse=True)[:6]}
+        assert set(zip(*(x.tolist() for x in state.held))) == want
+
+
+@pytest.mark.parametrize("rows_per_task", [1000, 4])
+def test_a_task_holds_a_bounded_number_of_queries(vectors, monkeypatch, rows_per_task):
+    q, m, queries, memory = vectors
+    most = max(sum(p == r[1] for r in queries) for p in {r[1] for r in queries})
+    assert most > 3
+    hits, _ = nearest(q, m, 4, ["project_id"], 0, rows_per_task, queries_per_task=3)
+    assert {(r.query_id, r.id, r["rank"]) for r in hits.collect()} == brute(queries, memory, 4)
+
+
+@pytest.mark.parametrize("max_shipped", [1000, 0])
+def test_a_query_is_sent_once_whatever_the_cells(vectors, monkeypatch, max_shipped):
+    q, m, queries, memory = vectors
+    asked = []
+
+    def watched(sent, *rest, **named):
+        asked.append(sent.count())
+        return nearest(sent, *rest, **named, max_shipped=max_shipped)
+
+    monkeypatch.setattr(S, "nearest", watched)
+    hits = S.ann_topk(q, m, 4, nlist=3, nprobe=3)
+    assert {(r.query_id, r.id, r["rank"]) for r in hits.collect()} == brute(queries, memory, 4)
+    assert asked == [len(queries)]
+
+
 def test_string_ids(vectors):
     q, m, queries, memory = vectors
     q = q.withColumn("query_id", F.col("query_id").cast("string"))
