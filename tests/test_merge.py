@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 import memlake.operators.merge as M
 import memlake.operators.similarity as Sim
+from memlake.plans import fold
 from memlake.plans.fold import numbered
+from memlake.session import checkpointed
 from tests import reference_loops as loops
 
 T0 = dt.datetime(2024, 1, 1)
@@ -80,6 +82,27 @@ def test_stored_copies_are_taken_over_one_by_one(spark):
                    (14, other, T0 + dt.timedelta(days=1, minutes=4))}
 
 
+def test_rounds_do_not_grow_with_a_family(spark, monkeypatch):
+    """Near texts that come in turn each take over the other: every row hangs on the one before."""
+    steps = []
+    for kept in ("checkpointed", "rewritten"):
+        monkeypatch.setattr(fold, kept, lambda df: steps.append(1) or checkpointed(df), raising=False)
+    say = "decided in meeting {} to take option one for every module"
+    rows = [dict(id=i, seq=i, project_id="p", content=say.format("abc"[i % 3]) if i % 7 else "other words", category="a", tags=[f"t{i}"], related_files=[],
+                 snapshot_id=None, created_at=T0 + dt.timedelta(minutes=i)) for i in range(63)]
+    stored = [dict(rows[0], id=1000 + i, content=say.format("abcab"[i]), created_at=T0 - dt.timedelta(days=i)) for i in range(2)]
+    out = M.merge_notes(frame(spark, stored, NOTE), frame(spark, rows, NOTE + ", seq long"))
+    assert {(r.id, r.content, tuple(r.tags), r.created_at) for r in out.collect()} == loops.merge_notes(stored, rows)
+    assert len(steps) < 40
+
+
+def test_families_of_a_long_chain(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (103, 105), (105, 100)]
+    got = {(r.row, r["head"]) for r in fold.families(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {(i, 0) for i in range(1, 41)} | {(103, 100), (105, 100)}
+    assert fold.families(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("seed,hot,first_batch", [(3, 0.0, 1000), (4, 0.35, 1000), (3, 0.0, 15), (4, 0.35, 15)])
 def test_errors_equal_row_by_row(spark, small_tasks, monkeypatch, seed, hot, first_batch):
     monkeypatch.setattr(M, "FIRST_BATCH", first_batch)
