@@ -104,3 +104,25 @@ def test_thresholds_keep_recall():
         mine = (label == 1) & (shape == k)
         assert (p[mine] >= bars[mine]).mean() >= 0.98 or network.thresholds[k] == secretscan.LEAST_SCORE
     assert abs(p.mean() - 0.5) < 0.02
+
+
+def test_every_finding_counts(spark, monkeypatch):
+    """No sample: with several parts, all held findings in all their views set curve and thresholds."""
+    monkeypatch.setattr(secretscan, "PART", 1000)
+    monkeypatch.setattr(secretscan, "ROUNDS", 2)
+    monkeypatch.setattr(secretscan, "LEAST_STEPS", 1)
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 18)) for _ in range(4000)]
+    keys = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, f"so {t} is") for i, t in enumerate(words + keys)], "doc_id long, text string")
+    known = secretscan.findings(docs).cache()
+    seen, calibrate = [], secretscan.Network.calibrate_on
+    monkeypatch.setattr(secretscan.Network, "calibrate_on", lambda self, scored: seen.append(scored) or calibrate(self, scored))
+    network = secretscan.fit(known)
+    held = known.filter("pmod(xxhash64(codes, 7), 4) = 0").groupBy("label").count().collect()
+    assert sum(r["count"] for r in held) > 900 and len(held) == 2
+    assert seen[0].count() == sum(r["count"] * (9 if r["label"] else 6) for r in held)
+    rows = seen[0].toPandas()
+    other = secretscan.Network({})
+    other.calibrate(rows["score"].to_numpy(), rows["label"].to_numpy(), rows["shape"].to_numpy())
+    assert network.curve == pytest.approx(other.curve, rel=1e-6) and network.thresholds == pytest.approx(other.thresholds, rel=1e-6)
