@@ -87,7 +87,11 @@ def grams(words: DataFrame, least: int = LEAST_LENGTH) -> DataFrame:
 
 
 def near_pairs(words: DataFrame, least: int = LEAST_LENGTH, rows_per_key: int = ROWS_PER_KEY) -> DataFrame:
-    """``a``, ``n_a``, ``b``, ``n_b``: every pair of words one edit apart, once."""
+    """``a``, ``n_a``, ``b``, ``n_b``: every pair of words one edit apart, once.
+
+    Both sides are shuffled: Spark takes the size of the words file for that of their keys, four to eight times
+    as many rows, and would send them through the driver.
+    """
     given, asked = chunks(words), grams(words, least)
     hot = hot_keys(asked, ["key"], rows_per_key)
     given, asked = repeat(given, hot, ["key"]), spread(asked, hot, ["key"], F.col("b"))
@@ -96,7 +100,7 @@ def near_pairs(words: DataFrame, least: int = LEAST_LENGTH, rows_per_key: int =
     kind = F.split_part("key", F.lit("/"), F.lit(2))
     fits = [x == y for x, y in zip(_keys(a, size, F.lit(0)), _keys(b, size, more))]
     earlier = F.when(kind == "0", False).when(kind == "1", fits[0]).when(kind == "2", fits[0] | fits[1]).otherwise(fits[0] | fits[1] | fits[2])
-    found = given.join(asked, ["key", SALT]).filter(((more == 1) | (a < b)) & (F.levenshtein(a, b, 1) == 1) & ~earlier)
+    found = given.hint("merge").join(asked, ["key", SALT]).filter(((more == 1) | (a < b)) & (F.levenshtein(a, b, 1) == 1) & ~earlier)
     return found.select("a", "n_a", "b", "n_b")
 
 

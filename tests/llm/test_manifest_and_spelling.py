@@ -150,3 +150,10 @@ def test_every_edit_shares_exactly_one_key(spark):
     found = [tuple(sorted((r["a"], r["b"]))) for r in spelling.near_pairs(spark.createDataFrame([(w, 1) for w in words], "word string, n long")).collect()]
     want = {(a, b) for a in words for b in words if a < b and one_edit(a, b)}
     assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_keys_are_not_sent_through_the_driver(spark):
+    words = spark.createDataFrame([(f"abcdefg{chr(97 + i)}", 1) for i in range(9)], "word string, n long")
+    plan = spelling.near_pairs(words)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_salt" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
