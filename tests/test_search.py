@@ -198,3 +198,27 @@ def test_mode_switch(vectors):
     assert {r.search_mode for r in S.search(q, m, "semantic").collect()} == {"semantic"}
     with pytest.raises(KeyError):
         S.search(q, m, "other")
+
+
+@pytest.mark.parametrize("sent", [1 << 19, 0])
+def test_substrings_of_every_length_sent_or_joined(spark, monkeypatch, sent):
+    monkeypatch.setattr(substring, "MAX_SENT_TEXTS", sent)
+    rng = np.random.default_rng(5)
+    rows = [(i, f"p{i % 3 // 2}" if i % 50 else None, "".join(rng.choice(list("abé😀"), rng.integers(0, 30)))) for i in range(150)]
+    asked = sorted({(p, rows[i][2][3 : 3 + n]) for i in range(0, 150, 5) for n in range(9) for p in ("p0", "p1", None)}, key=str)
+    found = substring.holding(
+        spark.createDataFrame(rows, "id long, project_id string, text string"), spark.createDataFrame(asked, "project_id string, _text string"), ["project_id"], "text")
+    want = sorted((p, t, i) for p, t in asked for i, r, x in rows if p and p == r and t in x)
+    assert sorted((r["project_id"], r["_text"], r["id"]) for r in found.collect()) == want
+
+
+def test_stored_texts_stay_where_they_are_read(spark, monkeypatch):
+    # stored texts and what they hold were shuffled for each number of newest rows tested
+    low = spark.createDataFrame([(i, "p", i, "one two three" if i % 2 else "four") for i in range(40)], "id long, project_id string, at int, _low string")
+    texts = spark.createDataFrame([("p", w) for w in ("one", "two th", "hre", "four")], "project_id string, _text string")
+    written = []
+    monkeypatch.setattr(substring, "checkpointed", lambda df, keep=substring.checkpointed: written.append(df.columns) or keep(df))
+    found = substring.holding(low, texts, ["project_id"], "_low", newest=(3, "at"))
+    assert all("_low" not in line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+    assert not any("id" in columns for columns in written)
+    assert sorted((r["_text"], r["id"]) for r in found.collect()) == sorted((w, i) for w, ids in (("one", (39, 37, 35)), ("two th", (39, 37, 35)), ("hre", (39, 37, 35)), ("four", (38, 36, 34))) for i in ids)
