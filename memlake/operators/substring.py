@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memlake.functions.trigram import distinct
 from memlake.plans.ranking import top_n
 from memlake.plans.skew import SALT, hot_keys, repeat, spread
 from memlake.session import checkpointed
@@ -107,7 +108,7 @@ class _Asked:
     def with_runs(self, text: str, key: tuple) -> np.ndarray:
         """Which asked texts of a block have their run in ``text``."""
         numbers = np.concatenate(_runs(text, self.longest))
-        numbers = np.unique(numbers[self.table[_places(numbers)]])
+        numbers = distinct(numbers[self.table[_places(numbers)]])
         own, first, count, order = self.of[key]
         at = np.minimum(np.searchsorted(own, numbers), len(own) - 1)
         at = at[own[at] == numbers]
