@@ -126,3 +126,19 @@ def test_every_finding_counts(spark, monkeypatch):
     other = secretscan.Network({})
     other.calibrate(rows["score"].to_numpy(), rows["label"].to_numpy(), rows["shape"].to_numpy())
     assert network.curve == pytest.approx(other.curve, rel=1e-6) and network.thresholds == pytest.approx(other.thresholds, rel=1e-6)
+
+
+def test_a_batch_is_trained_on_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    codes, label = rng.integers(0, 97, (300, secretscan.WIDTH)).astype(np.uint8), rng.integers(0, 2, 300)
+    low, high, sizes = np.full(300, 24), rng.integers(30, 64, 300), []
+    forward = secretscan.Network.forward
+    monkeypatch.setattr(secretscan.Network, "forward", lambda self, *held: sizes.append(len(held[0])) or forward(self, *held))
+    states = []
+    for windows in (secretscan.WINDOWS, secretscan.BATCH):
+        monkeypatch.setattr(secretscan, "WINDOWS", windows)
+        network = secretscan.Network.fresh()
+        network.train(codes, low, high, label, (1.0, 1.0), 1, 1)
+        states.append(network.state())
+        assert max(sizes) <= windows and network.step == 3
+    assert np.allclose(*states, atol=1e-4) and np.allclose(network.scores(codes, low, high), forward(network, codes, low, high)[0], atol=1e-4)
